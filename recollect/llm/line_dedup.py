@@ -19,19 +19,19 @@ MAX_EDITS = 2
 MIN_CHARS = 24
 #: At most so many line hashes or documents with removals are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-LETTERS = "eatnirs"
+LETTERS = "eatni"
 
 
-def _segments(length: int | Column, parts: int):
-    """(start, size) of each part, 0-based: the last ones are one longer where it doesn't divide."""
-    base, rest = F.floor(length / parts), length % parts
+def _segments(length: str, parts: int):
+    """(start, size) of each part, 0-based, for an integer expression; the last ones are one longer where it doesn't divide."""
+    base, rest = F.expr(f"({length}) div {parts}").cast("int"), F.expr(f"({length}) % {parts}").cast("int")
     for i in range(parts):
-        longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - rest))
-        yield base * i + longer, base + F.when(F.lit(i) >= F.lit(parts) - rest, 1).otherwise(0)
+        yield base * i + F.greatest(F.lit(0), rest - (parts - i)), base + F.when(rest >= parts - i, 1).otherwise(0)
 
 
-def _key(length: Column, part: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(part), F.substring(line, (start + 1).cast("int"), size.cast("int")))
+def _key(length: str, part: int, start: Column, size: Column) -> Column:
+    """A hash of length, part and characters; ``wide`` has four bytes each, so no character is searched for."""
+    return F.xxhash64(F.expr(length), F.lit(part), F.substring(F.col("wide"), start * 4 + 1, size * 4))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -43,61 +43,61 @@ def _identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b")]
 
 
-def _counts(line: Column) -> Column:
-    """Counts of some letters, eight bits each, saturated."""
-    total = F.lit(0).cast("long")
+def _sketch(line: Column) -> Column:
+    """Length above counts of some letters, seven bits each, saturated."""
+    total = F.shiftleft(F.length(line).cast("long"), 7 * len(LETTERS))
     for i, letter in enumerate(LETTERS):
-        n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * i))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), 7 * i))
     return total
 
 
+def _length(sketch: Column) -> Column:
+    return F.shiftright(sketch, 7 * len(LETTERS))
+
+
 def _close(x: Column, y: Column, max_edits: int) -> Column:
     """An edit changes at most two counts by one each."""
     gap = F.lit(0)
     for i in range(len(LETTERS)):
-        byte = [F.shiftright(c, 8 * i).bitwiseAND(F.lit(255).cast("long")) for c in (x, y)]
-        gap = gap + F.abs(byte[0] - byte[1])
+        count = [F.shiftright(c, 7 * i).bitwiseAND(F.lit(127).cast("long")) for c in (x, y)]
+        gap = gap + F.abs(count[0] - count[1])
     return gap <= 2 * max_edits
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, c, d): identities of two different lines within ``max_edits``, each pair once."""
     parts = max_edits + 1
+    if min_chars < parts * parts:
+        raise ValueError("lines are too short for so many edits")
     lines = _lines(docs, id_col, text_col, min_chars)
-    length, line = F.length("line"), F.col("line")
-    own = [*_identity(line), _counts(line).alias("letters"), length.cast("int").alias("n"), line]
-    narrow = lines.select(*own)
+    line = F.col("line")
+    narrow = lines.select(F.xxhash64(line).alias("a"), _sketch(line).alias("sketch"), F.length(line).alias("n"), F.encode(line, "UTF-32").alias("wide"))
 
-    filed = F.array(*[_key(F.col("n"), i, line, s, z) for i, (s, z) in enumerate(_segments(F.col("n"), parts))])
-    index = narrow.select("a", "b", "letters", "n", F.explode(filed).alias("key")).dropDuplicates(["key", "a", "b"])
+    filed = F.array(*[_key("n", i, s, z) for i, (s, z) in enumerate(_segments("n", parts))])
+    index = narrow.select("a", "sketch", F.explode(filed).alias("key")).distinct()
 
     probes = []
     for less in range(max_edits + 1):
-        short = F.col("n") - less
-        for i, (start, size) in enumerate(_segments(short, parts)):
-            # Of the pieces left of part i, at most i edits; right of it, at most max_edits - i (multi-match-aware).
-            for shift in range(-max_edits, max_edits + 1):
-                if abs(shift) <= i and abs(less - shift) <= max_edits - i:
-                    at = start + shift
-                    probes.append(F.when((at >= 0) & (at + size <= F.col("n")), _key(short, i, line, at, size)))
-    probe = narrow.select("a", "b", "letters", "n", F.explode(F.array_distinct(F.array(*probes))).alias("key")).where("key is not null")
+        for i, (start, size) in enumerate(_segments(f"n - {less}", parts)):
+            # Left of part i at most i edits, right of it at most max_edits - i (multi-match-aware).
+            probes += [_key(f"n - {less}", i, start + shift, size) for shift in range(-max_edits, max_edits + 1) if abs(shift) <= i and abs(less - shift) <= max_edits - i]
+    probe = narrow.select("a", "sketch", F.explode(F.array(*probes)).alias("key"))
 
     x, y = probe.alias("x"), index.hint("shuffle_hash").alias("y")
-    different = (F.col("x.a") != F.col("y.a")) | (F.col("x.b") != F.col("y.b"))
-    lengths = F.col("x.n") - F.col("y.n")
+    lengths = _length(F.col("x.sketch")) - _length(F.col("y.sketch"))
     # Lines of equal length find each other twice; the order of identities keeps one.
-    once = (lengths > 0) | (F.struct("x.a", "x.b") > F.struct("y.a", "y.b"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & different & lengths.between(0, max_edits) & once & _close(F.col("x.letters"), F.col("y.letters"), max_edits))
-    pairs = cut(pairs.select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.a").alias("c"), F.col("y.b").alias("d")).distinct())
+    once = (lengths > 0) | (F.col("x.a") > F.col("y.a"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") != F.col("y.a")) & lengths.between(0, max_edits) & once & _close(F.col("x.sketch"), F.col("y.sketch"), max_edits))
+    pairs = cut(pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("c")).distinct())
 
-    wanted = pairs.select("a", "b").union(pairs.select("c", "d")).distinct()
+    wanted = pairs.select("a").union(pairs.select("c")).distinct()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = lines.select(*_identity(line), "line").join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
+    texts = lines.select(*_identity(line), "line").join(wanted, "a", "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
     texts = cut(texts)
     left, right = texts.select("a", "b", F.col("line").alias("one")), texts.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("line").alias("two"))
-    found = pairs.join(left, ["a", "b"]).join(right, ["c", "d"])
+    found = pairs.join(left, "a").join(right, "c")
     return found.where(F.levenshtein("one", "two", max_edits) >= 0).select("a", "b", "c", "d")
 
 
