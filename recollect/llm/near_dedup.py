@@ -4,11 +4,12 @@ A document's signature has CHUNKS x WIDTH symbols of SYMBOL_BITS bits, each the
 min-wise hash of its shingle set. If two signatures differ in at most 2 * CHUNKS - 1 symbols, then
 by pigeonhole some chunk differs in at most one; so each chunk is indexed once for each symbol
 left out, and all pairs within that distance share a key. At Jaccard similarity 0.85, a pair
-misses every key with a probability of 2e-6. Links are confirmed on full shingle sets.
+misses every key with a probability of 6e-6. Links are confirmed on full shingle sets.
 
 Documents with one and the same shingle set are one class from the start. In a key's bucket each
-class is first tested against the smallest only; what then still lies in different components
-is tested pair by pair, under bounds of size and signature distance.
+class is first tested against the smallest only. Where a bucket then still holds several components,
+the members outside the largest are tested against all, in blocks, as matrix products of shingle sets;
+a block tells at most one link of a member to each component, so pairs are never laid out as rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from recollect.llm._graph import components
 from recollect.llm._session import cut, small_batches
 from recollect.llm._words import U64, WordHasher, blocks, mix, windows
 
-CHUNKS, WIDTH, SYMBOL_BITS = 6, 4, 16
+CHUNKS, WIDTH, SYMBOL_BITS = 8, 6, 16
+#: Members of a block of the rest and of all; shingles multiplied at once.
+REST, ALL, COLUMNS = 512, 2048, 4096
 
 
 def _sets(block: bytes, starts_of: np.ndarray, hasher: WordHasher, width: int):
@@ -104,16 +107,60 @@ def _alike(n: Column, m: Column, s: Column, t: Column, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= 2 * CHUNKS - 1)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets have ``percent`` of their union in common."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    kind = dict(texts.dtypes)["doc_id"]
-    sets = cut(texts.mapInArrow(_set_builder(width), f"doc_id {kind}, shingles array<bigint>"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("s")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("t")), "dst")
-    common = F.size(F.array_intersect("s", "t"))
-    return cut(both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("src", "dst"))
+def _links(percent: int):
+    """For a block of the rest (side 0) and one of all (side 1): a link of each member to each other component."""
+
+    def links(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(offsets)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.zeros(len(sizes), np.int64)
+        place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+        values = values[offsets[0] : offsets[-1]]
+        mine = side[owner] == 0
+        both = np.intersect1d(values[mine], values[~mine])
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        known = both[at] == values if len(both) else np.zeros(len(values), bool)
+        common = np.zeros((len(one), len(two)), np.float32)
+        for lo in range(0, len(both), COLUMNS):
+            own = known & (at >= lo) & (at < lo + COLUMNS)
+            parts = []
+            for own_side, n in ((mine, len(one)), (~mine, len(two))):
+                m = np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32)
+                pick = own & own_side
+                m[place[owner[pick]], at[pick] - lo] = 1
+                parts.append(m)
+            common += parts[0] @ parts[1].T
+        ids, components = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        union = sizes[one][:, None] + sizes[two][None, :] - common
+        hit = (common * 100 >= union * percent) & (components[one][:, None] != components[two][None, :])
+        src, dst = [], []
+        for i in np.flatnonzero(hit.any(1)):
+            js = np.flatnonzero(hit[i])
+            js = js[np.unique(components[two[js]], return_index=True)[1]]
+            src += [int(ids[one[i]])] * len(js)
+            dst += ids[two[js]].tolist()
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return links
+
+
+def _rest_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): links across components inside each group of (grp, rep, component).
+
+    All members but those of the group's largest component meet all members, in blocks.
+    """
+    of = groups.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = of.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    top = top.select("grp", "largest", F.ceil((F.col("all") - F.col("most")) / REST).alias("rests"), F.ceil(F.col("all") / ALL).alias("alls"))
+    m = groups.join(top, "grp").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    draw = F.xxhash64("rep")
+    every = m.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("r"), F.pmod(draw, F.col("alls")).alias("a"), F.lit(1).alias("side"), "rep", "component", "shingles")
+    rest = m.where("component <> largest").select("grp", F.pmod(draw, F.col("rests")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("a"), F.lit(0).alias("side"), "rep", "component", "shingles")
+    return every.unionByName(rest).groupBy("grp", "r", "a").applyInArrow(_links(percent), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -124,40 +171,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``percent`` * union; ``component_id`` is the smallest id reachable, and that document is kept.
 
     No words or null text: an empty set, linked with nothing. Rows with a null id are components of
-    their own, with a null component, and kept. Rows that repeat an id and text are one document; of
-    one id with several texts, each row gets the component of its own text. Further columns are ignored.
+    their own, with a null component, and kept. Ids are integers that name documents: rows that
+    repeat an id and text are one document; of an id with several texts, one text confirms its links.
+    Further columns are ignored.
     """
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = cut(rows.mapInArrow(_sketcher(width), f"doc_id {kind}, n_shingles bigint, set_key binary, signature array<int>"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    drawn = cut(rows.mapInArrow(_sketcher(width), "doc_id bigint, n_shingles bigint, set_key binary, signature array<int>"))
     some = drawn.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")))
 
-    keyed = classes.where(f"n * {100 - percent} >= {percent}").select("rep", F.explode(_keys(F.col("signature"))).alias("key"))
     # Sets of under percent / (100 - percent) shingles have no other set within the threshold.
-    leaders = keyed.groupBy("key").agg(F.min("rep").alias("src"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(keyed.join(leaders.select("key", "src"), "key"))
+    keyed = classes.where(f"n * {100 - percent} >= {percent}").select("rep", F.explode(_keys(F.col("signature"))).alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("rep").alias("src"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "src")
+    shared = cut(keyed.join(leaders, "key"))
+    near = shared.where("rep <> src").select("src", F.col("rep").alias("dst")).distinct()
     facts = classes.select("rep", "n", "signature")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        s = facts.select(F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
-        t = facts.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
-        return pairs.join(s, "src").join(t, "dst").where(_alike(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"), percent)).select("src", "dst")
-
-    stars = bounded(shared.where("rep <> src").select("src", F.col("rep").alias("dst")).distinct())
-    links = _confirm(stars, rows, "doc_id", "text", width, percent)
+    s = facts.select(F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
+    t = facts.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
+    stars = cut(near.join(s, "src").join(t, "dst").where(_alike(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"), percent)).select("src", "dst"))
+
+    # Shingle sets of those that share a bucket, from one more pass over the texts.
+    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_builder(width), "doc_id bigint, shingles array<bigint>"))
+    both = stars.join(sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("s")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("t")), "dst")
+    common = F.size(F.array_intersect("s", "t"))
+    links = cut(both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("src", "dst"))
     known = components(links)
 
-    # Buckets whose classes are not yet one component: their pairs across components.
-    member = shared.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    # Buckets whose members are not one component yet, grouped where they share members.
+    member = shared.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "src", "rep", F.coalesce("component", "rep").alias("component"))
     split = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = cut(member.join(split, "key").join(facts, "rep"))
-    a, b = left.alias("a"), left.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.rep") < F.col("b.rep")) & _alike(F.col("a.n"), F.col("b.n"), F.col("a.signature"), F.col("b.signature"), percent))
-    rest = across.select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
-    more = _confirm(rest, rows, "doc_id", "text", width, percent)
-    if more.limit(1).count():
+    left = cut(member.join(split, "key").select("src", "rep", "component").distinct())
+    group = components(left.where("rep <> src").select("src", F.col("rep").alias("dst")))
+    groups = cut(left.select("rep", "component").distinct().join(group.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep"))
+    more = cut(_rest_links(groups, sets, percent))
+    if not more.isEmpty():
         known = components(known.select(F.col("node").alias("src"), F.col("component").alias("dst")).where("src <> dst").union(more))
 
     own = classes.select("set_key", "rep").join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
