@@ -11,7 +11,9 @@ rarer ones are merged by the same rule where they occur.
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm._session import small_batches
+from recollect.llm._session import cut, small_batches
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -27,7 +29,9 @@ SPACE = "▁"
 FREQUENT_UNITS = 1 << 16
 UNIT_CHARS = 32
 #: Rare units that a task remembers; then it forgets them all.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
+#: Above so many characters a heap finds the best pair; below, a scan is faster.
+SCAN_CHARS = 48
 #: A merge never joins a character other than a space to a space after it, nor anything to a newline.
 UNIT = " +[^ \n]*|[^ \n]+|\n"
 
@@ -76,6 +80,19 @@ class Pieces:
     def merge(self, unit: str) -> list[int]:
         """Ids of a unit of any length: the best pair first, of equal ones the leftmost."""
         n = len(unit)
+        if n <= SCAN_CHARS:
+            get, none = self.rank.get, (-math.inf, 0)
+            parts = list(unit)
+            scores = [get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
+            while scores and (best := max(scores)) > -math.inf:
+                i = scores.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del scores[i]
+                if i < len(scores):
+                    scores[i] = get(parts[i] + parts[i + 1], none)[0]
+                if i:
+                    scores[i - 1] = get(parts[i - 1] + parts[i], none)[0]
+            return self.ids(parts)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
         heap: list[tuple[float, int, int, int]] = []
@@ -123,13 +140,17 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("unit", F.expr(cuts).alias("cuts"))
 
 
-def frequent_units(docs: DataFrame, text_col: str, pieces: Pieces) -> dict[str, list[int]]:
-    """Ids of the FREQUENT_UNITS units that occur most, counted over all texts, by the lattice."""
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def frequent_units(docs: DataFrame, text_col: str, pieces: Pieces) -> dict[str, bytes]:
+    """Ids, as int32 bytes, of the FREQUENT_UNITS units that occur most, counted over all texts, by the lattice."""
     units = docs.select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), F.col(text_col)), F.lit(UNIT), F.lit(0))).alias("unit"))
     top = units.groupBy("unit").count().where(F.length("unit") <= UNIT_CHARS).orderBy(F.desc("count"), "unit").limit(FREQUENT_UNITS)
     table = {}
-    for unit, cuts in lattice(top.select("unit"), pieces).collect():
-        table[unit] = pieces.ids([unit[a:b] for a, b in zip(cuts, cuts[1:])])
+    for unit, cuts in lattice(cut(top.select("unit")), pieces).collect():
+        table[unit] = _packed(pieces.ids([unit[a:b] for a, b in zip(cuts, cuts[1:])]))
     return table
 
 
@@ -148,33 +169,29 @@ def _gather(offsets: np.ndarray, values: np.ndarray, picks: np.ndarray) -> tuple
 
 def _encoder(shared):
     def encode(batches):
-        pieces, table = shared.value
+        # A worker keeps the broadcast value, and with it the rare units, from task to task.
+        pieces, table, rare = shared.value
         find = re.compile(UNIT).findall
-        place = {u: i for i, u in enumerate(table)}
-        lists = list(table.values())
-        fixed, (offsets, values) = len(lists), _flat(lists)
+        if len(rare) < len(table):
+            rare.update(table)
         for batch in batches:
-            found = [find(" " + text) if text else [] for text in batch.column(1).to_pylist()]
-            if len(lists) > fixed + REMEMBERED:
-                for u in list(place)[fixed:]:
-                    del place[u]
-                del lists[fixed:]
-            picks = []
-            for units in found:
+            out, ends = [], [0]
+            for text in batch.column(1).to_pylist():
+                units = find(" " + text) if text else []
                 try:
-                    picks += [place[u] for u in units]
+                    ids = b"".join([rare[u] for u in units])
                 except KeyError:
+                    if len(rare) > len(table) + REMEMBERED:
+                        rare.clear()
+                        rare.update(table)
                     for u in units:
-                        if u not in place:
-                            place[u] = len(lists)
-                            lists.append(pieces.merge(u))
-                    picks += [place[u] for u in units]
-            rare_offsets, rare = _flat(lists[fixed:])
-            all_offsets, all_values = np.concatenate((offsets, offsets[-1] + rare_offsets[1:])), np.concatenate((values, rare))
-            flat, lengths = _gather(all_offsets, all_values, np.array(picks, np.int64))
-            upto = np.concatenate(([0], np.cumsum(lengths)))
-            ends = upto[np.concatenate(([0], np.cumsum([len(u) for u in found])))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*batch.schema.names, "token_ids"])
+                        if u not in rare:
+                            rare[u] = _packed(pieces.merge(u))
+                    ids = b"".join([rare[u] for u in units])
+                out.append(ids)
+                ends.append(ends[-1] + len(ids) // 4)
+            flat = np.frombuffer(b"".join(out), np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], [*batch.schema.names, "token_ids"])
 
     return encode
 
@@ -208,7 +225,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mode
     spark = docs.sparkSession
     small_batches(spark)
     pieces = Pieces.load(model)
-    shared = spark.sparkContext.broadcast((pieces, frequent_units(docs, text_col, pieces)))
+    shared = spark.sparkContext.broadcast((pieces, frequent_units(docs, text_col, pieces), {}))
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encoder(shared), f"doc_id {kind}, text string, token_ids array<int>")
 
