@@ -19,7 +19,10 @@ MAX_EDITS = 2
 MIN_CHARS = 24
 #: At most so many line hashes or documents with removals are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-LETTERS = "eatni"
+#: Letters counted, seven bits each beside six bits of the length; with 64 bits there is room for eight.
+LETTERS = "etanihor"
+#: Lines that occur so often, or so often that there are at most BROADCAST_ROWS of them, are laid out once only.
+HOT_TIMES = 1000
 
 
 def _segments(length: str, parts: int):
@@ -36,7 +39,7 @@ def _key(length: str, part: int, start: Column, size: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.btrim(F.col("line"), F.lit(" \t\r\x0b\x0c")).alias("line")).where(F.length("line") >= min_chars)
+    return rows.select("doc_id", "line_no", F.trim(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
 
 
 def _identity(line: Column) -> list[Column]:
@@ -44,51 +47,54 @@ def _identity(line: Column) -> list[Column]:
 
 
 def _sketch(line: Column) -> Column:
-    """Length above counts of some letters, seven bits each, saturated."""
-    total = F.shiftleft(F.length(line).cast("long"), 7 * len(LETTERS))
+    """Counts of some letters, saturated, above the low bits of the length."""
+    total = F.length(line).cast("long").bitwiseAND(F.lit(63).cast("long"))
     for i, letter in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), 7 * i))
+        total = total.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), 7 * i + 6))
     return total
 
 
-def _length(sketch: Column) -> Column:
-    return F.shiftright(sketch, 7 * len(LETTERS))
-
-
 def _close(x: Column, y: Column, max_edits: int) -> Column:
     """An edit changes at most two counts by one each."""
     gap = F.lit(0)
     for i in range(len(LETTERS)):
-        count = [F.shiftright(c, 7 * i).bitwiseAND(F.lit(127).cast("long")) for c in (x, y)]
+        count = [F.shiftright(c, 7 * i + 6).bitwiseAND(F.lit(127).cast("long")) for c in (x, y)]
         gap = gap + F.abs(count[0] - count[1])
     return gap <= 2 * max_edits
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b, c, d): identities of two different lines within ``max_edits``, each pair once."""
+def near_lines(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(a, b, c, d): identities of two different lines within ``max_edits``, each pair once.
+
+    ``firsts``: (a, b, first, times) of every line, from the same documents.
+    """
     parts = max_edits + 1
     if min_chars < parts * parts:
         raise ValueError("lines are too short for so many edits")
     lines = _lines(docs, id_col, text_col, min_chars)
     line = F.col("line")
-    narrow = lines.select(F.xxhash64(line).alias("a"), _sketch(line).alias("sketch"), F.length(line).alias("n"), F.encode(line, "UTF-32").alias("wide"))
+    # At most total / least lines occur ``least`` times, so BROADCAST_ROWS bounds what is broadcast.
+    least = max(HOT_TIMES, (firsts.agg(F.sum("times")).first()[0] or 0) // BROADCAST_ROWS + 1)
+    hot = firsts.where(F.col("times") >= least).select("a", "b", "first")
+    once = lines.select("doc_id", "line_no", "line", *_identity(line)).join(F.broadcast(hot), ["a", "b"], "left").where(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no")))
+    narrow = once.select("a", _sketch(line).alias("sketch"), F.length(line).alias("n"), F.encode(line, "UTF-32").alias("wide"))
 
-    filed = F.array(*[_key("n", i, s, z) for i, (s, z) in enumerate(_segments("n", parts))])
-    index = narrow.select("a", "sketch", F.explode(filed).alias("key")).distinct()
-
-    probes = []
+    rows = [F.struct(_key("n", i, s, z).alias("key"), F.lit(True).alias("filed")) for i, (s, z) in enumerate(_segments("n", parts))]
     for less in range(max_edits + 1):
         for i, (start, size) in enumerate(_segments(f"n - {less}", parts)):
             # Left of part i at most i edits, right of it at most max_edits - i (multi-match-aware).
-            probes += [_key(f"n - {less}", i, start + shift, size) for shift in range(-max_edits, max_edits + 1) if abs(shift) <= i and abs(less - shift) <= max_edits - i]
-    probe = narrow.select("a", "sketch", F.explode(F.array(*probes)).alias("key"))
-
-    x, y = probe.alias("x"), index.hint("shuffle_hash").alias("y")
-    lengths = _length(F.col("x.sketch")) - _length(F.col("y.sketch"))
-    # Lines of equal length find each other twice; the order of identities keeps one.
-    once = (lengths > 0) | (F.col("x.a") > F.col("y.a"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") != F.col("y.a")) & lengths.between(0, max_edits) & once & _close(F.col("x.sketch"), F.col("y.sketch"), max_edits))
+            rows += [F.struct(_key(f"n - {less}", i, start + shift, size).alias("key"), F.lit(False).alias("filed")) for shift in range(-max_edits, max_edits + 1) if abs(shift) <= i and abs(less - shift) <= max_edits - i]
+    keyed = narrow.select("a", "sketch", F.inline(F.array(*rows))).repartition("key")
+
+    # Both sides read one exchange; a filter on a row number is not pushed below it, which would make two.
+    def side(filed: bool) -> DataFrame:
+        return keyed.where(F.when(F.monotonically_increasing_id() >= 0, F.col("filed") == filed)).select("key", "a", "sketch")
+
+    x, y = side(False).alias("x"), side(True).distinct().hint("shuffle_hash").alias("y")
+    # The key tells the filed line's length. Lines of equal length find each other twice; the order of identities keeps one.
+    longer = F.col("x.sketch").bitwiseAND(F.lit(63).cast("long")) != F.col("y.sketch").bitwiseAND(F.lit(63).cast("long"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") != F.col("y.a")) & (longer | (F.col("x.a") > F.col("y.a"))) & _close(F.col("x.sketch"), F.col("y.sketch"), max_edits))
     pairs = cut(pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("c")).distinct())
 
     wanted = pairs.select("a").union(pairs.select("c")).distinct()
@@ -105,13 +111,13 @@ def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, line_no) of the lines to remove, 0-based.
 
     A line is removed if an earlier one, by (doc_id, line_no), is within ``max_edits`` of it;
-    lines are compared as they are in the input, without white space at their ends.
+    lines are compared as they are in the input, without spaces at their ends.
     """
     lines = _lines(docs, id_col, text_col, min_chars).where(F.col("doc_id").isNotNull())
     place = F.struct("doc_id", "line_no")
     occurrences = lines.select("doc_id", "line_no", *_identity(F.col("line")))
     firsts = cut(occurrences.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
-    near = near_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, max_edits, min_chars)
+    near = near_lines(docs.where(F.col(id_col).isNotNull()), firsts, id_col, text_col, max_edits, min_chars)
     both = near.union(near.select("c", "d", "a", "b"))
     other = firsts.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("theirs"))
     theirs = both.join(other, ["c", "d"]).groupBy("a", "b").agg(F.min("theirs").alias("theirs"))
