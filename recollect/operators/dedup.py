@@ -96,6 +96,8 @@ def dedup_buffer(memories: DataFrame, threshold: float = S.DEFAULTS.triage_dedup
                 more = (out.get(drop) if accumulate else None) or (row[drop].access_count, row[drop].importance, list(row[drop].tags))
                 out[keep] = (access + more[0], max(importance, more[1]), list(dict.fromkeys([*tags, *more[2]]))[: S.MAX_TAGS])
                 gone.add(drop)
+                if accumulate and drop == i:
+                    break
         return pd.DataFrame([(k, k in gone, *(out.get(k) or (row[k].access_count, row[k].importance, list(row[k].tags)))) for k in ids if k in gone or k in out], columns=["id", "removed", "access_count", "importance", "tags"])
 
     return rows.groupBy("component").applyInPandas(resolve, "id string, removed boolean, access_count long, importance double, tags array<string>")

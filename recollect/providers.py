@@ -29,13 +29,13 @@ def hashing_embedder(texts: list[str], dims: int = DIMS) -> np.ndarray:
 
 def embed(df: DataFrame, text_col: str = "content", out_col: str = "embedding", embedder: Embedder = hashing_embedder, batch: int = 50, tries: int = 3) -> DataFrame:
     """``df`` with vectors, in batches of ``batch`` texts; a batch that fails is tried again, a wrong count is an error."""
-    at = df.columns.index(text_col)
     kept = [c for c in df.columns if c != out_col]
+    at = kept.index(text_col)
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.select(*kept).dtypes)
 
     def run(batches):
         for b in batches:
-            texts, rows = b.column(at if out_col not in df.columns else kept.index(text_col)).to_pylist(), []
+            texts, rows = b.column(at).to_pylist(), []
             for lo in range(0, len(texts), batch):
                 part = texts[lo : lo + batch]
                 for n in range(tries):
