@@ -31,8 +31,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder, so that later plans don't depend on earlier stages or lost executors."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """What Catalyst estimates for the plan: for a file scan, the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._session import input_bytes, small_batches
+from recollect.llm._session import small_batches
 from recollect.llm._words import SPAN, U64, WordHasher, blocks, windows
 
 WIDTH = 13
-#: Bytes of input files for each bucket of window hashes; at least 256 buckets, and a power of two.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text for each bucket of window hashes. The number of buckets is a power of two within these bounds.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 8, 24
+LOW = U64((1 << 56) - 1)
 
 
 def _runs(keys: np.ndarray, owners: np.ndarray):
@@ -32,28 +33,35 @@ def _runs(keys: np.ndarray, owners: np.ndarray):
 
 
 def _pack(keys: np.ndarray, owners: np.ndarray) -> bytes:
-    """Low 56 bits of each key, and owners by their place in a list of the different ones."""
+    """The low 56 bits of sorted keys as gaps of 48 bits, the few wider gaps aside, and owners by their place in a list."""
     ids, place = np.unique(owners, return_inverse=True)
-    wide = np.uint16 if len(ids) <= 1 << 16 else np.uint32
-    head = np.array([len(keys), len(ids)], np.int64)
-    low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :7]
-    return b"".join((head.tobytes(), ids.tobytes(), place.astype(wide).tobytes(), low.tobytes()))
+    kind = np.uint16 if len(ids) <= 1 << 16 else np.uint32
+    low = keys & LOW
+    gaps = np.diff(low, prepend=U64(0))
+    wide = np.flatnonzero(gaps >> U64(48))
+    head = np.array([len(keys), len(ids), len(wide)], np.int64)
+    short = gaps.view(np.uint8).reshape(-1, 8)[:, :6]
+    return b"".join((head.tobytes(), ids.tobytes(), wide.tobytes(), gaps[wide].tobytes(), place.astype(kind).tobytes(), short.tobytes()))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = (int(x) for x in np.frombuffer(data, np.int64, 2))
-    ids = np.frombuffer(data, np.int64, m, 16)
-    wide = np.dtype(np.uint16 if m <= 1 << 16 else np.uint32)
-    at = 16 + 8 * m
-    place = np.frombuffer(data, wide, n, at)
-    keys = np.zeros((n, 8), np.uint8)
-    keys[:, :7] = np.frombuffer(data, np.uint8, 7 * n, at + wide.itemsize * n).reshape(n, 7)
-    return keys.reshape(-1).view(np.uint64), ids[place]
+    n, m, w = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    ids = np.frombuffer(data, np.int64, m, 24)
+    at = 24 + 8 * m
+    wide, full = np.frombuffer(data, np.int64, w, at), np.frombuffer(data, np.uint64, w, at + 8 * w)
+    kind = np.dtype(np.uint16 if m <= 1 << 16 else np.uint32)
+    at += 16 * w
+    place = np.frombuffer(data, kind, n, at)
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at + kind.itemsize * n).reshape(n, 6)
+    gaps = raw.reshape(-1).view(np.uint64)
+    gaps[wide] = full
+    return np.cumsum(gaps), ids[place]
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
     """48 bits of a key: enough inside one document."""
-    return (keys & U64((1 << 56) - 1)) >> U64(8)
+    return (keys & LOW) >> U64(8)
 
 
 def _covers(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
@@ -159,7 +167,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = max(8, (input_bytes(docs) // BUCKET_BYTES).bit_length())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(LEAST_BITS, min(MOST_BITS, (size // BUCKET_BYTES).bit_length()))
     sent = rows.mapInArrow(_indexer(width, bits), "bucket long, data binary")
     covered = sent.groupBy("bucket").applyInArrow(_resolve, "doc_id long, short binary")
     covered = covered.groupBy("doc_id").agg(F.collect_list("short").alias("short"))
