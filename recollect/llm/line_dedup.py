@@ -19,12 +19,16 @@ MAX_EDITS = 2
 MIN_CHARS = 24
 #: At most so many line hashes or documents with removals are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Letters counted, seven bits each beside six bits of the length; with 64 bits there is room for eight.
-LETTERS = "etanihor"
+#: Letters counted modulo eight, three bits each; with 64 bits there is room for 21.
+LETTERS = "etaoinshrdlcumwfgypbk"
 #: Lines that occur so often, or so often that there are at most BROADCAST_ROWS of them, are laid out once only.
 HOT_TIMES = 1000
 
 
+#: What a key is of: a line's own segment, or a substring that could be a segment of an equally long or shorter line.
+FILED, EQUAL, LONGER = 0, 1, 2
+
+
 def _segments(length: str, parts: int):
     """(start, size) of each part, 0-based, for an integer expression; the last ones are one longer where it doesn't divide."""
     base, rest = F.expr(f"({length}) div {parts}").cast("int"), F.expr(f"({length}) % {parts}").cast("int")
@@ -47,20 +51,20 @@ def _identity(line: Column) -> list[Column]:
 
 
 def _sketch(line: Column) -> Column:
-    """Counts of some letters, saturated, above the low bits of the length."""
-    total = F.length(line).cast("long").bitwiseAND(F.lit(63).cast("long"))
+    """Counts of some letters, modulo eight."""
+    total = F.lit(0).cast("long")
     for i, letter in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), 7 * i + 6))
+        total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)).cast("long"), 3 * i))
     return total
 
 
 def _close(x: Column, y: Column, max_edits: int) -> Column:
-    """An edit changes at most two counts by one each."""
-    gap = F.lit(0)
+    """An edit changes at most two counts by one each; modulo eight, counts are no farther apart than they are."""
+    gap, seven = F.lit(0).cast("long"), F.lit(7).cast("long")
     for i in range(len(LETTERS)):
-        count = [F.shiftright(c, 7 * i + 6).bitwiseAND(F.lit(127).cast("long")) for c in (x, y)]
-        gap = gap + F.abs(count[0] - count[1])
+        apart = (F.shiftright(x, 3 * i) - F.shiftright(y, 3 * i)).bitwiseAND(seven)
+        gap = gap + F.least(apart, F.lit(8) - apart)
     return gap <= 2 * max_edits
 
 
@@ -80,21 +84,21 @@ def near_lines(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", text_
     once = lines.select("doc_id", "line_no", "line", *_identity(line)).join(F.broadcast(hot), ["a", "b"], "left").where(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no")))
     narrow = once.select("a", _sketch(line).alias("sketch"), F.length(line).alias("n"), F.encode(line, "UTF-32").alias("wide"))
 
-    rows = [F.struct(_key("n", i, s, z).alias("key"), F.lit(True).alias("filed")) for i, (s, z) in enumerate(_segments("n", parts))]
+    rows = [F.struct(_key("n", i, s, z).alias("key"), F.lit(FILED).alias("role")) for i, (s, z) in enumerate(_segments("n", parts))]
     for less in range(max_edits + 1):
         for i, (start, size) in enumerate(_segments(f"n - {less}", parts)):
             # Left of part i at most i edits, right of it at most max_edits - i (multi-match-aware).
-            rows += [F.struct(_key(f"n - {less}", i, start + shift, size).alias("key"), F.lit(False).alias("filed")) for shift in range(-max_edits, max_edits + 1) if abs(shift) <= i and abs(less - shift) <= max_edits - i]
+            rows += [F.struct(_key(f"n - {less}", i, start + shift, size).alias("key"), F.lit(LONGER if less else EQUAL).alias("role")) for shift in range(-max_edits, max_edits + 1) if abs(shift) <= i and abs(less - shift) <= max_edits - i]
     keyed = narrow.select("a", "sketch", F.inline(F.array(*rows))).repartition("key")
 
     # Both sides read one exchange; a filter on a row number is not pushed below it, which would make two.
     def side(filed: bool) -> DataFrame:
-        return keyed.where(F.when(F.monotonically_increasing_id() >= 0, F.col("filed") == filed)).select("key", "a", "sketch")
+        return keyed.where(F.when(F.monotonically_increasing_id() >= 0, (F.col("role") == FILED) == filed))
 
-    x, y = side(False).alias("x"), side(True).distinct().hint("shuffle_hash").alias("y")
-    # The key tells the filed line's length. Lines of equal length find each other twice; the order of identities keeps one.
-    longer = F.col("x.sketch").bitwiseAND(F.lit(63).cast("long")) != F.col("y.sketch").bitwiseAND(F.lit(63).cast("long"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") != F.col("y.a")) & (longer | (F.col("x.a") > F.col("y.a"))) & _close(F.col("x.sketch"), F.col("y.sketch"), max_edits))
+    x, y = side(False).alias("x"), side(True).select("key", "a", "sketch").distinct().hint("shuffle_hash").alias("y")
+    # Lines of equal length find each other twice; the order of identities keeps one.
+    once = (F.col("x.role") == LONGER) | (F.col("x.a") > F.col("y.a"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.a") != F.col("y.a")) & once & _close(F.col("x.sketch"), F.col("y.sketch"), max_edits))
     pairs = cut(pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("c")).distinct())
 
     wanted = pairs.select("a").union(pairs.select("c")).distinct()
