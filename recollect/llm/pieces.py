@@ -124,7 +124,8 @@ class Pieces:
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, cuts): where the merges leave bounds, from (unit). Edges come from a join with the piece table."""
     spark = units.sparkSession
-    table = spark.createDataFrame([(p, s) for p, (s, _) in pieces.rank.items() if len(p) > 1], "piece string, score double")
+    long = [p for p in pieces.rank if len(p) > 1]
+    table = spark.createDataFrame(pa.table({"piece": long, "score": [pieces.rank[p][0] for p in long]}))
     # The piece table is a fixed vocabulary; it doesn't grow with the input.
     n = F.length("unit")
     start = units.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
@@ -144,14 +145,17 @@ def _packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def frequent_units(docs: DataFrame, text_col: str, pieces: Pieces) -> dict[str, bytes]:
-    """Ids, as int32 bytes, of the FREQUENT_UNITS units that occur most, counted over all texts, by the lattice."""
+def frequent_units(docs: DataFrame, text_col: str, pieces: Pieces) -> pa.Table:
+    """(unit, cuts) of the FREQUENT_UNITS units that occur most, counted over all texts, by the lattice."""
     units = docs.select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), F.col(text_col)), F.lit(UNIT), F.lit(0))).alias("unit"))
     top = units.groupBy("unit").count().where(F.length("unit") <= UNIT_CHARS).orderBy(F.desc("count"), "unit").limit(FREQUENT_UNITS)
-    table = {}
-    for unit, cuts in lattice(cut(top.select("unit")), pieces).collect():
-        table[unit] = _packed(pieces.ids([unit[a:b] for a, b in zip(cuts, cuts[1:])]))
-    return table
+    return lattice(cut(top.select("unit")), pieces).toArrow()
+
+
+def _table(frequent: pa.Table, pieces: Pieces) -> dict[str, bytes]:
+    """Ids of the frequent units as int32 bytes; made by each worker, once."""
+    cut_units = zip(frequent.column("unit").to_pylist(), frequent.column("cuts").to_pylist())
+    return {unit: _packed(pieces.ids([unit[a:b] for a, b in zip(cuts, cuts[1:])])) for unit, cuts in cut_units}
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +174,10 @@ def _gather(offsets: np.ndarray, values: np.ndarray, picks: np.ndarray) -> tuple
 def _encoder(shared):
     def encode(batches):
         # A worker keeps the broadcast value, and with it the rare units, from task to task.
-        pieces, table, rare = shared.value
+        pieces, frequent, rare = shared.value
         find = re.compile(UNIT).findall
-        if len(rare) < len(table):
-            rare.update(table)
+        if not rare:
+            rare.update(_table(frequent, pieces))
         for batch in batches:
             out, ends = [], [0]
             for text in batch.column(1).to_pylist():
@@ -181,9 +185,9 @@ def _encoder(shared):
                 try:
                     ids = b"".join([rare[u] for u in units])
                 except KeyError:
-                    if len(rare) > len(table) + REMEMBERED:
+                    if len(rare) > frequent.num_rows + REMEMBERED:
                         rare.clear()
-                        rare.update(table)
+                        rare.update(_table(frequent, pieces))
                     for u in units:
                         if u not in rare:
                             rare[u] = _packed(pieces.merge(u))
