@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from recollect import schema as S
@@ -47,32 +47,42 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
 
 
-def bm25_scores(memories: DataFrame, query: str, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
+def statistics(memories: DataFrame, query: str) -> Row:
+    """One row to the driver: documents, mean length and the document frequency of each different term of the query."""
+    distinct = list(dict.fromkeys(query_terms(query)))
+    return corpus_stats(_tokenised(memories, distinct), len(distinct)).first()
+
+
+def bm25_scores(memories: DataFrame, query: str, t: S.Thresholds = S.DEFAULTS, stats: Row | None = None) -> DataFrame:
     """``memories`` with a column bm25 for the query, 0 where no term occurs.
 
     Terms in over 80 % of at least five documents are noise and dropped. Statistics are of all rows
-    given, so filter the result, not the input. The one row of statistics is broadcast.
+    given, so filter the result, not the input; they are one broadcast row, or literals if ``stats`` is
+    :func:`statistics` of the same query.
     """
     terms = query_terms(query)
     if not terms:
         return memories.withColumn("bm25", F.lit(0.0))
     distinct = list(dict.fromkeys(terms))
-    tokenised = _tokenised(memories, distinct)
-    stats = corpus_stats(tokenised, len(distinct))
-    df = tokenised.crossJoin(F.broadcast(stats))
+    df = _tokenised(memories, distinct)
+    if stats is None:
+        df = df.crossJoin(F.broadcast(corpus_stats(df, len(distinct))))
+        of = F.col
+    else:
+        of = lambda name: F.lit(stats[name])
     parts = []
     for i, term in enumerate(distinct):
-        tf, freq = F.col(f"_tf{i}"), F.col(f"_df{i}")
-        noise = (F.col("_n") >= t.noise_min_docs) & (freq / F.col("_n") > t.noise_df_ratio)
-        gain = idf(F.col("_n"), freq) * tf * (K1 + 1) / (tf + (F.col("_dl") / F.col("_avg") * B + (1 - B)) * K1)
+        tf, freq = F.col(f"_tf{i}"), of(f"_df{i}")
+        noise = (of("_n") >= t.noise_min_docs) & (freq / of("_n") > t.noise_df_ratio)
+        gain = idf(of("_n"), freq) * tf * (K1 + 1) / (tf + (F.col("_dl") / of("_avg") * B + (1 - B)) * K1)
         parts.append(F.when((tf == 0) | noise, 0.0).otherwise(gain * terms.count(term)))
     total = reduce(lambda a, b: a + b, parts)
     return df.select(*memories.columns, total.alias("bm25"))
 
 
-def search(memories: DataFrame, query: str, limit: int, namespace: str | None = None, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
+def search(memories: DataFrame, query: str, limit: int, namespace: str | None = None, t: S.Thresholds = S.DEFAULTS, stats: Row | None = None) -> DataFrame:
     """The ``limit`` best matches of any term, best first."""
-    df = bm25_scores(memories, query, t).where("bm25 > 0")
+    df = bm25_scores(memories, query, t, stats).where("bm25 > 0")
     if namespace is not None:
         df = df.where(F.col("namespace") == namespace)
     return df.orderBy(F.desc("bm25"), "id").limit(limit)

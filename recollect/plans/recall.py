@@ -1,14 +1,17 @@
 """Hybrid recall: keyword, vector and fact candidates fused into one ranking under a token budget.
 
-One logical plan from the tables to the page. What decides between plans in a driver program, the number
-of candidates, is a broadcast row here; only a few hundred ids of bounded lists are ever broadcast.
+One row of corpus statistics comes to the driver first; then one logical plan goes from the tables to the page.
+The number of candidates, which decides how vectors are searched, is a broadcast row of that plan; what else is
+broadcast are ids of lists of a few hundred.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from recollect import schema as S
@@ -57,9 +60,9 @@ def _ids(df: DataFrame) -> DataFrame:
     return df.select("id")
 
 
-def candidates(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds = S.DEFAULTS) -> dict[str, DataFrame]:
+def candidates(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds = S.DEFAULTS, stats: Row | None = None) -> dict[str, DataFrame]:
     """fts (id, bm25, f), extra (id, relevance), linked (id), core (id), all (id)."""
-    fts = text.search(memories, r.query, r.fetch * 3, r.namespace, t).select("id", "bm25")
+    fts = text.search(memories, r.query, r.fetch * 3, r.namespace, t, stats).select("id", "bm25")
     top = fts.agg(F.greatest(F.lit(0.001), F.max("bm25")).alias("_m"))
     fts = fts.crossJoin(F.broadcast(top)).select("id", "bm25", (F.col("bm25") / F.col("_m")).alias("f"))
     extra = None
@@ -91,7 +94,9 @@ def semantic(memories: DataFrame, found: DataFrame, r: Request) -> DataFrame:
 
 def relevance(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
     """The rows found, with sim, f and relevance."""
-    c = candidates(memories, facts, r, t)
+    words = list(dict.fromkeys(text.query_terms(r.query)))
+    stats = text.statistics(memories, r.query) if words else None
+    c = candidates(memories, facts, r, t, stats)
     near = semantic(memories, c["all"], r).where(F.col("sim") >= t.recall_sim_floor)
     hits = near.join(c["fts"].select("id", "f"), "id", "full")
     if c["extra"] is not None:
@@ -113,20 +118,17 @@ def relevance(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds
     if terms:
         said = F.exists(F.array(*map(F.lit, terms)), lambda w: F.contains(content, w))
         rel = F.when(F.col("f").isNull() & ~said, rel * t.no_keyword_penalty).otherwise(rel)
-    words = list(dict.fromkeys(text.query_terms(r.query)))
     if words:
-        df = text.term_document_frequency(memories, words)
-        n = memories.agg(F.count(F.lit(1)).alias("_n"))
-        idfs = df.crossJoin(F.broadcast(n)).where(~((F.col("_n") >= t.noise_min_docs) & (F.col("df") / F.col("_n") > t.noise_df_ratio)))
-        idfs = idfs.agg(F.collect_list(F.when(F.col("df") > 0, F.struct("term", F.log(F.col("_n") / F.col("df")).alias("idf")))).alias("_i"), F.count(F.lit(1)).alias("_terms"))
-        rows = rows.crossJoin(F.broadcast(idfs))
+        n = stats["_n"]
+        known = [(w, stats[f"_df{i}"]) for i, w in enumerate(words) if not (n >= t.noise_min_docs and stats[f"_df{i}"] / n > t.noise_df_ratio)]
+        idfs = [(w, math.log(n / df)) for w, df in known if df > 0]
+        total = sum(i for _, i in idfs)
         whole = F.lower(F.concat_ws(" ", "content", F.array_join("tags", " ")))
-        add = lambda s, i: s + i["idf"]
-        total = F.aggregate("_i", F.lit(0.0), add)
-        got = F.aggregate(F.filter("_i", lambda i: F.contains(whole, i["term"])), F.lit(0.0), add)
-        share = got / total
-        factor = F.when(F.col("_terms") == 0, 1.0).when(total <= 0, t.orphan_penalty).when(share > 0, share * t.idf_boost + 1).otherwise(t.idf_miss_penalty)
-        rel = rel * factor
+        if known and total > 0:
+            share = reduce(lambda a, b: a + b, [F.when(F.contains(whole, F.lit(w)), i).otherwise(0.0) for w, i in idfs]) / total
+            rel = rel * F.when(share > 0, share * t.idf_boost + 1).otherwise(t.idf_miss_penalty)
+        elif known:
+            rel = rel * t.orphan_penalty
     if r.tags:
         wanted = F.array(*[F.lit(x.lower()) for x in r.tags])
         rel = rel * (F.size(F.filter("tags", lambda x: F.array_contains(wanted, F.lower(x)))) * t.tag_boost + 1)
@@ -163,7 +165,7 @@ def budget_prefix(df: DataFrame, order: list[Column], budget: int, limit: int, o
 def recall(memories: DataFrame, facts: DataFrame, r: Request, now_ms: int, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
     """The page: rank, id, score, relevance, recency, tokens and the memory's columns."""
     rows = scored(memories, facts, r, now_ms, t)
-    return budget_prefix(rows, ordering(r.sort_by), r.budget, r.page, r.offset).drop("sim", "f", "x", "linked", "embedding", "_i", "_terms")
+    return budget_prefix(rows, ordering(r.sort_by), r.budget, r.page, r.offset).drop("sim", "f", "x", "linked", "embedding")
 
 
 def touched(page: DataFrame) -> DataFrame:
