@@ -19,8 +19,8 @@ MAX_EDITS = 2
 MIN_CHARS = 24
 #: At most so many line hashes or documents with removals are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Letters counted modulo eight, three bits each; with 64 bits there is room for 21.
-LETTERS = "etaoinshrdlcumwfgypbk"
+#: The letters commonest in English, counted modulo eight, three bits each; each takes a pass over every line.
+LETTERS = "etaoinshrdlcumw"
 #: Lines that occur so often, or so often that there are at most BROADCAST_ROWS of them, are laid out once only.
 HOT_TIMES = 1000
 
@@ -119,7 +119,7 @@ def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     lines = _lines(docs, id_col, text_col, min_chars).where(F.col("doc_id").isNotNull())
     place = F.struct("doc_id", "line_no")
-    occurrences = lines.select("doc_id", "line_no", *_identity(F.col("line")))
+    occurrences = cut(lines.select("doc_id", "line_no", *_identity(F.col("line"))))
     firsts = cut(occurrences.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
     near = near_lines(docs.where(F.col(id_col).isNotNull()), firsts, id_col, text_col, max_edits, min_chars)
     both = near.union(near.select("c", "d", "a", "b"))
