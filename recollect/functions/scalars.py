@@ -21,8 +21,9 @@ def _accents() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), *_accents())
+    """Lower case without accents; ASCII texts, which have none, skip the slower translation."""
+    low = F.lower(text)
+    return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, *_accents()))
 
 
 def tokens(text: Column) -> Column:
