@@ -5,6 +5,8 @@ one segment of the shorter stands unchanged in the longer, close to its own plac
 probes an index of (length, segment number, segment) with the few substrings that can be it.
 Candidates pass a letter-count bound and then the banded edit distance of Spark itself
 (``levenshtein`` with a threshold). Only DataFrame functions; a copied line counts once.
+
+Lines under MIN_CHARS characters are not joined by edits: of those, exact repeats go.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from recollect.llm._session import cut
 
 MAX_EDITS = 2
-#: Shorter lines are kept: within two edits they would meet unrelated lines.
+#: Of shorter lines only exact repeats go: within two edits they would meet unrelated lines.
 MIN_CHARS = 24
 #: At most so many line hashes or documents with removals are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -111,32 +113,43 @@ def near_lines(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", text_
     return found.where(F.levenshtein("one", "two", max_edits) >= 0).select("a", "b", "c", "d")
 
 
-def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, near: bool = True, short: bool = False) -> DataFrame:
     """(doc_id, line_no) of the lines to remove, 0-based.
 
-    A line is removed if an earlier one, by (doc_id, line_no), is within ``max_edits`` of it;
-    lines are compared as they are in the input, without spaces at their ends.
+    ``near``: a line of at least ``min_chars`` characters is removed if an earlier one of them, by
+    (doc_id, line_no), is within ``max_edits`` of it. ``short``: a shorter line is removed if an
+    earlier one is equal, unless it is blank, of white space alone.
+    Lines are compared as they are in the input, without spaces at their ends.
     """
-    lines = _lines(docs, id_col, text_col, min_chars).where(F.col("doc_id").isNotNull())
+    line, long = F.col("line"), F.length("line") >= min_chars
+    lines = _lines(docs, id_col, text_col, 1 if short else min_chars).where(F.col("doc_id").isNotNull())
+    if short:
+        lines = lines.where((long & F.lit(near)) | (~long & line.rlike(r"\S")))
     place = F.struct("doc_id", "line_no")
-    occurrences = cut(lines.select("doc_id", "line_no", *_identity(F.col("line"))))
-    firsts = cut(occurrences.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
-    near = near_lines(docs.where(F.col(id_col).isNotNull()), firsts, id_col, text_col, max_edits, min_chars)
-    both = near.union(near.select("c", "d", "a", "b"))
+    occurrences = cut(lines.select("doc_id", "line_no", *_identity(line), long.alias("is_long")))
+    firsts = cut(occurrences.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.first("is_long").alias("is_long")))
+    occurrences = occurrences.drop("is_long")
+    if not near:
+        limits = firsts.where("times > 1").select("a", "b", F.col("first").alias("limit"))
+        return occurrences.join(limits, ["a", "b"]).where(place > F.col("limit")).select("doc_id", "line_no")
+    pairs = near_lines(docs.where(F.col(id_col).isNotNull()), firsts.where("is_long"), id_col, text_col, max_edits, min_chars)
+    both = pairs.union(pairs.select("c", "d", "a", "b"))
     other = firsts.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("theirs"))
     theirs = both.join(other, ["c", "d"]).groupBy("a", "b").agg(F.min("theirs").alias("theirs"))
     limits = firsts.join(theirs, ["a", "b"], "left").where("times > 1 or theirs < first").select("a", "b", F.least("first", F.coalesce("theirs", "first")).alias("limit"))
     return occurrences.join(limits, ["a", "b"]).where(place > F.col("limit")).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with near-duplicate lines taken out of the text, and n_lines and n_removed beside it.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, near: bool = True, short: bool = True) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and n_lines and n_removed beside it.
 
-    Lines are what ``\\n`` separates. Null text stays null with 0 lines; empty text is one line, kept.
-    Lines under ``min_chars`` characters and rows with a null id keep all. Rows that repeat an id
+    ``near`` and ``short``: as in ``line_removals``; by default near duplicates of long lines and
+    exact repeats of shorter ones go.
+    Lines are what ``\\n`` separates. Null text stays null with 0 lines; empty text is one line, kept,
+    as are blank lines. Rows with a null id keep all. Rows that repeat an id
     share its removals. Columns n_lines and n_removed of ``docs`` are replaced; the others stay.
     """
-    gone = line_removals(docs, id_col, text_col, max_edits, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    gone = line_removals(docs, id_col, text_col, max_edits, min_chars, near, short).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
     gone = cut(gone)
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

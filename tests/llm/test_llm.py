@@ -213,6 +213,31 @@ def test_hot_lines_are_laid_out_once(spark, monkeypatch):
     assert got == {(i, 0) for i in range(1, 10)} | {(7, 1)}
 
 
+def test_short_lines_match_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(24)
+    stems = ["".join(rng.choice(list("abcé😀"), n)) for n in (1, 2, 8, 9, 22, 23, 24, 25, 40)] + ["", "  ", "\t", " \r", "All rights reserved."]
+    rows = []
+    for i in range(40):
+        picked = [stems[k] for k in rng.integers(len(stems), size=6)]
+        rows.append((i, "\n".join(" " * int(rng.integers(2)) + (s[:-1] + "z" if s and rng.random() < 0.3 else s) for s in picked)))
+    rows += [(50, "Erheed. Titionly.\nown\nErheed. Titionly.\nErheed. Titionly."), (None, "own\nown"), (51, None), (52, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    # Equal to an earlier line at any length, or both of 24 characters at least and within two edits.
+    seen, gone = set(), brute_lines([r for r in rows if r[0] is not None], 2, 24)
+    for i, text in rows[:-4] + rows[-4:-3]:
+        for n, t in enumerate(x.strip(" ") for x in text.split("\n")):
+            if t.strip():
+                gone |= {(i, n)} if t in seen else set()
+                seen.add(t)
+    want = {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == want
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    assert {r.doc_id: (r.text, r.n_chars) for r in stage(spark, df, SMALL).collect()} == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+    assert want[50] == "Erheed. Titionly.\nown" and want[None] == "own\nown"
+
+
 def test_lines_odd_rows(spark, odd):
     done = line_dedup.dedup_lines(odd.withColumn("n_lines", F.lit("clash")))
     got = {r.doc_id: r for r in done.collect()}
