@@ -157,6 +157,11 @@ def _(s, d):
 ORACLE["memories_without_facts"] = ORACLE["memories_without_facts"].replace("f.memory_id = m.id", "f.memory_id = m.id AND CAST(f.memory_id AS INTEGER) % 2 = 0")
 
 
+@register("memories_without_any_fact", f"SELECT {META_SQL} FROM memories m WHERE layer >= 2 AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.memory_id = m.id)", MEM, FACTS)
+def _(s, d):
+    return scans.memories_without_facts(mem(s, d), A.facts(s, d)).select(*META)
+
+
 # Scalars
 
 
@@ -533,6 +538,12 @@ def _(s, d):
     return mutations.promote(m, m.select("id"), 3, NOW_MS, EPOCH).select("id", "layer", "decay_rate")
 
 
+@register("promote_core_rows", f"SELECT id, CASE WHEN {CORE_OK} THEN 3 ELSE layer END AS layer, CAST(CASE WHEN {CORE_OK} THEN 0.05 ELSE decay_rate END AS DOUBLE) AS decay_rate FROM memories", MEM)
+def _(s, d):
+    m = mem(s, d)
+    return mutations.promote(m, lifecycle.core_candidates(m, NOW_MS).select("id"), 3, NOW_MS, EPOCH).select("id", "layer", "decay_rate")
+
+
 @register("soft_delete_cascade", "SELECT 'memory' AS kind, id FROM memories WHERE n % 3 <> 0 UNION ALL SELECT 'trash', id FROM memories WHERE n % 3 = 0 UNION ALL SELECT 'fact', id FROM facts WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.n % 3 = 0 AND m.id = facts.memory_id)", MEM, FACTS)
 def _(s, d):
     m = mem(s, d)

@@ -18,6 +18,16 @@ def test_runs(spark, name):
     df.collect()
 
 
+def test_odd_ids_and_all_facts_count(spark):
+    from recollect.sources import adapters
+
+    m = {r.id: r.layer for r in adapters.memories(spark, SMALL, False).collect()}
+    up = {r.id: r.layer for r in catalogue.QUERIES["promote_core_rows"](spark, SMALL).collect()}
+    assert set(up) == set(m) and {int(i) % 2 for i in up if up[i] != m[i]} == {0, 1}
+    named = {r.memory_id for r in adapters.facts(spark, SMALL).collect()}
+    assert {r.id for r in catalogue.QUERIES["memories_without_any_fact"](spark, SMALL).collect()} == {i for i in m if m[i] >= 2 and i not in named}
+
+
 def test_entry(spark):
     import __spark_entry__
 
