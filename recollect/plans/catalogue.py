@@ -376,6 +376,17 @@ def _(s, d):
     return G.multihop(f, start, 2).select("entity", "depth", F.element_at("path", -1)["object"].alias("last"))
 
 
+@register(
+    "facts_multihop_all",
+    "SELECT subject AS entity, 1 AS depth, object AS last FROM facts UNION ALL SELECT f.subject, 2, g.object FROM facts f JOIN facts g ON lower(g.subject) = lower(f.object)",
+    FACTS,
+)
+def _(s, d):
+    f = A.facts(s, d)
+    start = f.select(F.col("subject").alias("entity")).distinct()
+    return G.multihop(f, start, 2).select("entity", "depth", F.element_at("path", -1)["object"].alias("last"))
+
+
 # Recall
 
 _AFF = " OR ".join(f"contains(lower(content), '{w}')" for w in QUERY.split())

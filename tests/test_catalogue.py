@@ -28,6 +28,13 @@ def test_odd_ids_and_all_facts_count(spark):
     assert {r.id for r in catalogue.QUERIES["memories_without_any_fact"](spark, SMALL).collect()} == {i for i in m if m[i] >= 2 and i not in named}
 
 
+def test_chains_start_from_every_subject(spark):
+    from recollect.sources import adapters
+
+    every = {r.subject for r in adapters.facts(spark, SMALL).collect()}
+    assert {r.entity for r in catalogue.QUERIES["facts_multihop_all"](spark, SMALL).collect()} == every
+
+
 def test_entry(spark):
     import __spark_entry__
 
