@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import line_dedup, mixing, near_dedup, pieces, quality
@@ -16,10 +16,15 @@ from recollect.llm._session import checkpoint_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from all labels of the documents."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    accepted = quality.classify(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(accepted, "doc_id", "left_semi").select(docs.columns)
+    """Documents that the quality classifier accepts; it learns from all labels of the documents.
+
+    Rows with a null id go by their own text; rows that repeat an id all stay if one of them is accepted.
+    """
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string"), "quality")
+    text_key = F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNull(), text_key).otherwise(F.col("doc_id").cast("string")))
+    accepted = quality.classify(keyed, labels, "_key").where("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(accepted, "_key", "left_semi").select(docs.columns)
 
 
 def _without_lines(docs: DataFrame, near: bool, short: bool) -> DataFrame:
@@ -28,12 +33,12 @@ def _without_lines(docs: DataFrame, near: bool, short: bool) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near-duplicate lines of at least MIN_CHARS characters; n_chars follows the text."""
+    """Documents without near-duplicate lines of at least MIN_CHARS characters; n_chars follows the text. Rows with a null id keep all."""
     return _without_lines(docs, near=True, short=False)
 
 
 def short_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without exact repeats of shorter lines; n_chars follows the text."""
+    """Documents without exact repeats of shorter lines; n_chars follows the text. Rows with a null id keep all."""
     return _without_lines(docs, near=False, short=True)
 
 
@@ -43,20 +48,31 @@ def every_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows with a null id are kept; rows that repeat an id all stay if one of them is kept.
+    """
+    gone = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each time a document is taken, cut to the words the mix takes of it."""
-    mixed = mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "spans")
-    rounds = mixed.select("doc_id", F.col("source").alias("_source"), "size", "spans", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda s: s["repeats"])).cast("int"))).alias("_round"))
-    taken = F.filter("spans", lambda s: s["repeats"] >= F.col("_round"))
-    rounds = rounds.select("doc_id", "_source", "size", taken.alias("_spans"))
-    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]) == F.col("size")
-    rounds = rounds.select("doc_id", "_source", F.when(~whole, F.col("_spans")).alias("_spans"))
-    joined = docs.join(rounds, "doc_id").where(F.col("source").eqNullSafe(F.col("_source")))
+    """The mix of sources: a row for each time a document is taken, cut to the words the mix takes of it.
+
+    Rows with a null id and rows that repeat an id are documents of their own.
+    """
+    # Rows of one id and source meet their shares in the order of size; rows without an id by size, too.
+    own = lambda size: [F.xxhash64(*salt, "doc_id", "source", F.when(F.col("doc_id").isNull(), size)).alias(name) for name, salt in (("_a", []), ("_b", [F.lit("mix")]))]
+    shares = mixing.mix(docs).select(*own(F.col("size")), F.struct("size", "first", "spans").alias("share")).groupBy("_a", "_b").agg(F.sort_array(F.collect_list("share")).alias("_shares"))
+    size = mixing.word_count(F.col("text"))
+    group = Window.partitionBy("_a", "_b")
+    placed = docs.select("*", *own(size)).withColumn("_many", F.count(F.lit(1)).over(group) > 1)
+    placed = placed.withColumn("_nth", F.row_number().over(group.orderBy(F.when(F.col("_many"), size))))
+    joined = placed.join(shares, ["_a", "_b"]).withColumn("_share", F.element_at("_shares", F.col("_nth"))).where(F.size("_share.spans") > 0)
+    joined = joined.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_share.spans", lambda s: s["repeats"])).cast("int"))))
+    joined = joined.withColumn("_spans", F.filter("_share.spans", lambda s: s["repeats"] >= F.col("_round")))
+    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]) == F.col("_share.size")
+    joined = joined.withColumn("_spans", F.when(~whole, F.col("_spans")))
     words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(part)
@@ -64,7 +80,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, token_ids, n_tokens, round_trip) of every document of the mix."""
+    """(doc_id, token_ids, n_tokens, round_trip) of every document of the mix, null ids included."""
     coded = pieces.decode(pieces.encode(docs))
     return coded.select("doc_id", "token_ids", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))
 

@@ -438,6 +438,26 @@ def test_pipeline_stages_follow_brute_force(spark, docs):
     assert all(r.text == "\n".join(x for n, x in enumerate(text[r.doc_id].split("\n")) if (r.doc_id, n) not in gone) for r in lines.collect())
 
 
+def test_stages_on_odd_rows(spark, odd, docs):
+    import corpus_pipeline as c
+
+    bare = odd.unionByName(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    many = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    texts = lambda df, null: sorted(r.text or "" for r in df.where(F.col("doc_id").isNull() == null).collect())
+    accepted = c.quality_stage(spark, many, SMALL)
+    assert texts(accepted, True) == texts(accepted, False) and 0 < accepted.count() < many.count()
+    assert texts(c.every_line_stage(spark, bare, SMALL), True) == texts(c.near_stage(spark, bare, SMALL), True) == sorted(t or "" for _, t, *_ in ODD)
+    assert c.pieces_stage(spark, bare, SMALL).where("doc_id is null and round_trip").count() == len(ODD)
+    for df in (bare, many.unionByName(docs.limit(40))):
+        taken, got = {}, {}
+        for r in mixing.mix(df).collect():
+            taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+        for r in c.mixing_stage(spark, df, SMALL).collect():
+            got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(words(r.text))
+        assert got == {k: n for k, n in taken.items() if n} and any(i is None for i, _ in got)
+    assert c.quality_stage(spark, bare, SMALL).columns == bare.columns
+
+
 def test_entry_without_the_subpackage():
     import subprocess
     import sys
