@@ -1,10 +1,11 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's signature has CHUNKS x WIDTH symbols of SYMBOL_BITS bits, each the low bits of a
-min-wise hash of its shingle set. If two signatures differ in at most 2 * CHUNKS - 1 symbols, then
+A document's signature has n chunks of WIDTH symbols of SYMBOL_BITS bits, each the low bits of a
+min-wise hash of its shingle set. If two signatures differ in at most 2 * n - 1 symbols, then
 by pigeonhole some chunk differs in at most one; so each chunk is indexed once for each symbol
-left out, and all pairs within that distance share a key. At Jaccard similarity 0.85, a pair
-misses every key with a probability of 6e-6. Links are confirmed on full shingle sets.
+left out, and all pairs within that distance share a key. n follows from the threshold, so that a
+pair at the threshold misses every key with a probability of at most MISS: 8 chunks at a Jaccard
+similarity of 0.85 (6e-6), 12 at 0.80 (3e-6). Links are confirmed on full shingle sets.
 
 Documents with one and the same shingle set are one class from the start. In a key's bucket each
 class is first tested against the smallest only. Where a bucket then still holds several components,
@@ -14,6 +15,8 @@ a block tells at most one link of a member to each component, so pairs are never
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,11 +26,20 @@ from recollect.llm._graph import components
 from recollect.llm._session import cut, small_batches
 from recollect.llm._words import U64, WordHasher, blocks, mix, windows
 
-CHUNKS, WIDTH, SYMBOL_BITS = 8, 6, 16
+WIDTH, SYMBOL_BITS = 6, 16
+#: A pair at the threshold shares no key with at most this probability.
+MISS = 6.5e-6
 #: Members of a block of the rest and of all; shingles multiplied at once.
 REST, ALL, COLUMNS = 512, 2048, 4096
 
 
+def chunks(percent: int) -> int:
+    """How many chunks keep the miss rate: one alone has a key in common if at most one of its symbols differs."""
+    j = percent / 100
+    differs = 1 - j**WIDTH - WIDTH * j ** (WIDTH - 1) * (1 - j)
+    return max(1, math.ceil(math.log(MISS) / math.log(differs))) if differs > 0 else 1
+
+
 def _sets(block: bytes, starts_of: np.ndarray, hasher: WordHasher, width: int):
     """Distinct shingle hashes of each row of a block, one after the other, and how many each has."""
     starts, _, h = hasher.words(block.lower())
@@ -49,8 +61,8 @@ def _sets(block: bytes, starts_of: np.ndarray, hasher: WordHasher, width: int):
     return (np.concatenate(out) if out else np.empty(0, U64)), counts
 
 
-def _sketcher(width: int):
-    symbols = CHUNKS * WIDTH
+def _sketcher(width: int, n_chunks: int):
+    symbols = n_chunks * WIDTH
 
     def sketch(batches):
         hasher = WordHasher()
@@ -92,19 +104,19 @@ def _set_builder(width: int):
     return build
 
 
-def _keys(signature: Column) -> Column:
+def _keys(signature: Column, n_chunks: int) -> Column:
     """A key for each chunk and each symbol left out of it."""
     made = []
-    for c in range(CHUNKS):
+    for c in range(n_chunks):
         part = [signature[c * WIDTH + j] for j in range(WIDTH)]
         made += [F.xxhash64(F.lit(c * WIDTH + out), *[p for j, p in enumerate(part) if j != out]) for out in range(WIDTH)]
     return F.array(*made)
 
 
-def _alike(n: Column, m: Column, s: Column, t: Column, percent: int) -> Column:
+def _alike(n: Column, m: Column, s: Column, t: Column, percent: int, n_chunks: int) -> Column:
     """Bounds that no pair over the threshold and within the signature distance breaks."""
     apart = F.size(F.filter(F.zip_with(s, t, lambda x, y: x != y), lambda d: d))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= 2 * CHUNKS - 1)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= 2 * n_chunks - 1)
 
 
 def _links(percent: int):
@@ -176,20 +188,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Further columns are ignored.
     """
     small_batches(docs.sparkSession)
+    n_chunks = chunks(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = cut(rows.mapInArrow(_sketcher(width), "doc_id bigint, n_shingles bigint, set_key binary, signature array<int>"))
+    drawn = cut(rows.mapInArrow(_sketcher(width, n_chunks), "doc_id bigint, n_shingles bigint, set_key binary, signature array<int>"))
     some = drawn.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")))
 
     # Sets of under percent / (100 - percent) shingles have no other set within the threshold.
-    keyed = classes.where(f"n * {100 - percent} >= {percent}").select("rep", F.explode(_keys(F.col("signature"))).alias("key"))
+    keyed = classes.where(f"n * {100 - percent} >= {percent}").select("rep", F.explode(_keys(F.col("signature"), n_chunks)).alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("src"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "src")
     shared = cut(keyed.join(leaders, "key"))
     near = shared.where("rep <> src").select("src", F.col("rep").alias("dst")).distinct()
     facts = classes.select("rep", "n", "signature")
     s = facts.select(F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
     t = facts.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
-    stars = cut(near.join(s, "src").join(t, "dst").where(_alike(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"), percent)).select("src", "dst"))
+    stars = cut(near.join(s, "src").join(t, "dst").where(_alike(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"), percent, n_chunks)).select("src", "dst"))
 
     # Shingle sets of those that share a bucket, from one more pass over the texts.
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()

@@ -110,6 +110,13 @@ def test_near_components_match_brute_force(spark, monkeypatch, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_miss_rate_holds_at_every_threshold(spark):
+    for percent in (60, 70, 80, 85, 90, 100):
+        j, n = percent / 100, near_dedup.chunks(percent)
+        assert (1 - j**6 - 6 * j**5 * (1 - j)) ** n < 6.5e-6
+    assert near_dedup.chunks(85) == 8 and near_dedup.chunks(80) == 12
+
+
 def test_near_odd_rows(spark, odd):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()}
     assert got[(1, 0)] == (1, True) and got[(3, 0)] == (3, True) and got[(5, 4)] == (4, False) and got[(7, 1)] == (7, True)
