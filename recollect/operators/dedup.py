@@ -57,10 +57,22 @@ def core_overlaps(memories: DataFrame, threshold: float = S.DEFAULTS.core_overla
 
 
 def merge_pairs(memories: DataFrame, threshold: float = S.DEFAULTS.merge_sim) -> DataFrame:
-    """(layer, namespace, a, b, similarity) of one layer and namespace."""
-    df = memories.withColumn("_g", F.concat_ws("|", "layer", "namespace"))
+    """(layer, namespace, a, b, similarity) of one layer, and of one namespace or with one row in ``default``.
+
+    A pair of ``default`` with another namespace is in ``default``, where its merged row stays.
+    """
+    rows = memories.select("id", "layer", "embedding", "namespace")
+    names = rows.select("namespace").distinct().where(F.col("namespace") != S.DEFAULT_NAMESPACE).withColumnRenamed("namespace", "_ns")
+    shared = rows.where(F.col("namespace") == S.DEFAULT_NAMESPACE).crossJoin(F.broadcast(names))
+    df = rows.withColumn("_ns", F.col("namespace")).unionByName(shared).withColumn("_g", F.concat_ws("|", "layer", "_ns"))
     p = vector.similar_pairs(df, threshold, by="_g")
-    return p.select(F.split_part("g", F.lit("|"), F.lit(1)).cast("int").alias("layer"), F.regexp_replace("g", r"^[^|]*\|", "").alias("namespace"), "a", "b", "similarity")
+    home = rows.where(F.col("namespace") == S.DEFAULT_NAMESPACE).select("id", F.lit(1).alias("_d"))
+    x, y = (home.select(F.col("id").alias(c), F.col("_d").alias(f"_d{c}")) for c in ("a", "b"))
+    p = p.join(x, "a", "left").join(y, "b", "left").withColumn("_ns", F.regexp_replace("g", r"^[^|]*\|", ""))
+    # Two rows of ``default`` meet in every group; their own counts.
+    p = p.where(F.col("_da").isNull() | F.col("_db").isNull() | (F.col("_ns") == S.DEFAULT_NAMESPACE))
+    namespace = F.when(F.col("_da").isNotNull() | F.col("_db").isNotNull(), S.DEFAULT_NAMESPACE).otherwise(F.col("_ns"))
+    return p.select(F.split_part("g", F.lit("|"), F.lit(1)).cast("int").alias("layer"), namespace.alias("namespace"), "a", "b", "similarity")
 
 
 def dedup_buffer(memories: DataFrame, threshold: float = S.DEFAULTS.triage_dedup_sim, accumulate: bool = False) -> DataFrame:

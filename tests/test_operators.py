@@ -416,3 +416,10 @@ def test_resolve_prefix(spark):
     assert scans.resolve_prefix(m, "x") == "x" and scans.resolve_prefix(m, "q") is None
     with pytest.raises(scans.AmbiguousPrefix):
         scans.resolve_prefix(m, "abc")
+
+
+def test_default_rows_merge_with_every_namespace(spark):
+    rows = [("1", 2, "default", [1.0, 0.0]), ("2", 2, "p", [1.0, 0.1]), ("3", 2, "q", [1.0, 0.2]), ("4", 2, "default", [1.0, 0.3]), ("5", 3, "p", [1.0, 0.0]), ("6", 2, "p", [1.0, 0.4])]
+    m = spark.createDataFrame(rows, "id string, layer int, namespace string, embedding array<float>")
+    got = sorted((r.layer, r.namespace, *sorted((r.a, r.b))) for r in dedup.merge_pairs(m, 0.5).collect())
+    assert got == [(2, "default", "1", "2"), (2, "default", "1", "3"), (2, "default", "1", "4"), (2, "default", "1", "6"), (2, "default", "2", "4"), (2, "default", "3", "4"), (2, "default", "4", "6"), (2, "p", "2", "6")]
