@@ -27,24 +27,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(accepted, "_key", "left_semi").select(docs.columns)
 
 
-def _without_lines(docs: DataFrame, near: bool, short: bool) -> DataFrame:
-    done = line_dedup.dedup_lines(docs, near=near, short=short)
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
-
-
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near-duplicate lines of at least MIN_CHARS characters; n_chars follows the text. Rows with a null id keep all."""
-    return _without_lines(docs, near=True, short=False)
-
+    """Documents without near-duplicate lines of at least MIN_CHARS characters and exact repeats of shorter ones.
 
-def short_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without exact repeats of shorter lines; n_chars follows the text. Rows with a null id keep all."""
-    return _without_lines(docs, near=False, short=True)
-
-
-def every_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup at every length. Neither step sees the lines of the other, so the result is that of op4."""
-    return short_line_stage(spark, line_stage(spark, docs, sf_dir), sf_dir)
+    n_chars follows the text. Rows with a null id keep all.
+    """
+    done = line_dedup.dedup_lines(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +77,7 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("line dedup", every_line_stage),
+    ("line dedup", line_stage),
     ("near dedup", near_stage),
     ("mixing", mixing_stage),
     ("pieces", pieces_stage),

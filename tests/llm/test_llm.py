@@ -213,6 +213,42 @@ def test_lines_match_brute_force(spark):
         assert {tuple(r) for r in line_dedup.line_removals(df, max_edits=edits).collect()} == brute_lines(rows, edits, line_dedup.MIN_CHARS)
 
 
+def test_bit_parallel_distance(spark):
+    rng = np.random.default_rng(41)
+    rows = [("", ""), ("", "ab"), ("", "abc"), ("abc", ""), ("ab", "ba"), ("x" * 70, "x" * 72), ("é😀部", "é部署")]
+    for _ in range(400):
+        s = list("".join(rng.choice(list("abé😀"), rng.integers(0, 40))))
+        t = list(s)
+        for _ in range(rng.integers(0, 6)):
+            k, what = int(rng.integers(len(t) + 1)), rng.integers(3)
+            t[k : k + (what != 1)] = [] if what == 0 else ["z"]
+        rows.append(("".join(s), "".join(t)))
+    df = spark.createDataFrame(rows, "one string, two string")
+    for k in (0, 1, 2, 3, 4):
+        assert df.where(line_dedup.within("one", "two", k) != (F.levenshtein("one", "two") <= k)).count() == 0
+
+
+def test_family_of_lines_is_not_laid_out(spark, monkeypatch):
+    sizes, plain = [], line_dedup.cut
+
+    def counted(df):
+        out = plain(df)
+        if set(out.columns) == {"a", "c"}:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    rows = [(i, f"Invoice number {chr(97 + i // 26 % 26)} and {chr(97 + i % 26)} of the year, page {chr(97 + i // 676)} of the whole book") for i in range(1200)]
+    got = {tuple(r) for r in line_dedup.line_removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_family(rows)
+    assert sum(sizes) < 30 * len(rows)
+
+
+def brute_family(rows):
+    """Lines of equal length that differ by substitutions alone."""
+    return {(i, 0) for k, (i, t) in enumerate(rows) if any(sum(x != y for x, y in zip(t, u)) <= 2 for _, u in rows[:k])}
+
+
 def test_hot_lines_are_laid_out_once(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT_TIMES", 3)
     rows = [(i, "a line that all of the documents have\n" + ("a line that all of the documents hav!" if i == 7 else f"own {i}")) for i in range(10)]
@@ -440,7 +476,7 @@ def test_pipeline_stages_follow_brute_force(spark, docs):
         mixed[r.doc_id] = mixed.get(r.doc_id, 0) + len(words(r.text))
     assert mixed == {i: n for i, n in taken.items() if n}
     lines = corpus_pipeline.line_stage(spark, docs, SMALL)
-    gone = {(r.doc_id, r.line_no) for r in line_dedup.line_removals(docs).collect()}
+    gone = {(r.doc_id, r.line_no) for r in line_dedup.line_removals(docs, short=True).collect()}
     text = dict(rows)
     assert all(r.text == "\n".join(x for n, x in enumerate(text[r.doc_id].split("\n")) if (r.doc_id, n) not in gone) for r in lines.collect())
 
@@ -453,7 +489,7 @@ def test_stages_on_odd_rows(spark, odd, docs):
     texts = lambda df, null: sorted(r.text or "" for r in df.where(F.col("doc_id").isNull() == null).collect())
     accepted = c.quality_stage(spark, many, SMALL)
     assert texts(accepted, True) == texts(accepted, False) and 0 < accepted.count() < many.count()
-    assert texts(c.every_line_stage(spark, bare, SMALL), True) == texts(c.near_stage(spark, bare, SMALL), True) == sorted(t or "" for _, t, *_ in ODD)
+    assert texts(c.line_stage(spark, bare, SMALL), True) == texts(c.near_stage(spark, bare, SMALL), True) == sorted(t or "" for _, t, *_ in ODD)
     assert c.pieces_stage(spark, bare, SMALL).where("doc_id is null and round_trip").count() == len(ODD)
     for df in (bare, many.unionByName(docs.limit(40))):
         taken, got = {}, {}
