@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Targets share all words by weight, none above ``max_epochs`` times its source (water filling).
-Slots of equally many words are dealt to sources by golden-ratio points through the cumulative
-targets; the r-th slot of a source takes the r-th block of its shuffled words, round and round.
+A source gets the slots of equally many words that its target needs, the last one cut to what is left.
+The i-th slot of the mix falls to the source whose interval of cumulative slots holds the i-th
+golden-ratio point; on a lattice of Fibonacci numbers those points are a permutation, so each source has
+exactly its slots. The r-th slot of a source takes the r-th block of its shuffled words, round and round.
 Running sums and ranks go in two levels, so no task holds a whole source.
 """
 
@@ -15,13 +17,12 @@ from recollect.llm._session import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
-GOLDEN = 0.6180339887498949
-#: Rows of one source in a bucket of the shuffled order, and slots of a source in a run, on average.
+#: Rows of one source in a bucket of the shuffled order, and slots of a run, on average.
 BUCKET_ROWS = 4096
 RUN_SLOTS = 16384
-#: A slot has a two-hundredth of the smallest target, and no more than this.
+#: Words of a slot; more where there would be over MOST_SLOTS, so that their products fit 64 bits.
 SLOT_WORDS = 4096
-SLOTS_OF_LEAST = 200
+MOST_SLOTS = 1 << 30
 
 
 def word_count(text: Column) -> Column:
@@ -52,40 +53,58 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
-def schedule(shares: DataFrame, slot_words: int, total_words: int, max_epochs: int = 3) -> DataFrame:
-    """(source, block, repeats): how many slots take each block of ``slot_words`` words of a source.
+def lattice(slots: int) -> tuple[int, int]:
+    """(modulus, step): neighbouring Fibonacci numbers, the modulus at least ``slots``.
 
-    Slot i of the mix falls to the source whose interval of cumulative targets holds
-    frac((i + 1/2) * golden ratio). Slots past ``max_epochs`` rounds of a source are left empty.
+    ``i * step mod modulus`` runs through all places below the modulus; divided by it, these are
+    points of the golden-ratio sequence up to the precision of the fraction.
     """
-    spark = shares.sparkSession
-    # One row a source: the number of sources bounds this literal, not the number of rows.
-    rows = sorted(shares.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
-    goal, bands, at = sum(r.target for r in rows), [], 0.0
-    for r in rows:
-        bands.append((r.source, at / goal if goal else 0.0, (at + r.target) / goal if goal else 0.0, -(-r.source_size // slot_words)))
-        at += r.target
-    bands = [b for b in bands if b[3] > 0]
-    slots = round(total_words / slot_words)
-    cuts = F.array(*[F.lit(b[2]) for b in bands[:-1]]) if len(bands) > 1 else F.array().cast("array<double>")
-    point = (F.col("id") + 0.5) * F.lit(GOLDEN)
-    # ``place``: how many bands end at or before the point.
-    dealt = spark.range(slots).select(F.col("id"), F.expr(f"id div {RUN_SLOTS}").alias("run"), F.size(F.filter(cuts, lambda c: c <= point - F.floor(point))).alias("place"))
-    order = spark.createDataFrame([(i, b[0], b[3]) for i, b in enumerate(bands)], "place int, source string, blocks long")
-    runs = dealt.groupBy("run", "place").count()
-    before = Window.partitionBy("place").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("run", "place", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("run", "place").orderBy("id")) - 1
-    ranked = dealt.select("run", "place", rank.alias("within")).join(runs, ["run", "place"]).join(F.broadcast(order), "place")
-    ranked = ranked.select("source", "blocks", (F.col("base") + F.col("within")).alias("rank")).where(F.col("rank") < F.col("blocks") * max_epochs)
-    return ranked.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("repeats"))
+    step, modulus = 1, 2
+    while modulus < slots:
+        step, modulus = modulus, step + modulus
+    return modulus, step
+
+
+def schedule(shares: DataFrame, slot_words: int) -> DataFrame:
+    """(source, slot, rank, block, words): the slots of the mix, numbered in its order with gaps.
+
+    ``rank`` counts the slots of a source; ``block`` is the block of ``slot_words`` words of its
+    shuffled order that the slot takes, and ``words`` how many of them. Full rounds take all blocks;
+    what the target has beyond them is taken from the first blocks, the last of these cut.
+    """
+    w = F.lit(slot_words)
+    need = shares.where("source_size > 0").select("source", "source_size", F.round("target").cast("long").alias("goal"))
+    need = need.withColumns({"blocks": F.expr(f"(source_size + {slot_words - 1}) div {slot_words}"), "rest": F.expr("goal % source_size")})
+    need = need.withColumn("slots", F.expr(f"(goal div source_size) * blocks + (rest + {slot_words - 1}) div {slot_words}"))
+    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")).rowsBetween(Window.unboundedPreceding, -1)
+    need = cut(need.withColumn("start", F.coalesce(F.sum("slots").over(order), F.lit(0).cast("long"))))
+    modulus, step = lattice(need.agg(F.sum("slots")).first()[0] or 0)
+    back = pow(step, -1, modulus)
+
+    # Runs of a source's places are dealt out before they are laid out, so no task lays out a whole source.
+    runs = need.where("slots > 0").withColumn("run", F.explode(F.expr(f"sequence(0, (slots - 1) div {RUN_SLOTS})"))).repartition("source", "run")
+    inside = F.expr(f"sequence(run * {RUN_SLOTS}, least(run * {RUN_SLOTS} + {RUN_SLOTS - 1}, slots - 1))")
+    dealt = runs.select("source", "source_size", "blocks", "rest", "slots", F.explode(inside).alias("nth"), "start")
+    slot = F.expr(f"(start + nth) * {back}L % {modulus}L")
+    dealt = dealt.select("source", "source_size", "blocks", "rest", "slots", slot.alias("slot")).withColumn("run", F.expr(f"slot div {RUN_SLOTS}"))
+    before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("source", "run").count()
+    counts = counts.select("source", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")).alias("c")
+    rank = F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1
+    ranked = dealt.withColumn("within", rank).alias("d").join(counts, F.expr("d.source <=> c.source and d.run = c.run"))
+    ranked = ranked.select("d.source", "source_size", "blocks", "rest", "slots", "slot", (F.col("base") + F.col("within")).alias("rank"))
+    ranked = ranked.withColumn("block", F.col("rank") % F.col("blocks"))
+    # A block has slot_words words, the last one of a source what is left; the last slot of a target what that lacks.
+    whole = F.least(w, F.col("source_size") - F.col("block") * w)
+    words = F.when((F.col("rest") > 0) & (F.col("rank") == F.col("slots") - 1), F.col("rest") - F.col("block") * w).otherwise(whole)
+    return ranked.select("source", "slot", "rank", "block", words.alias("words"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """(doc_id, size, source_size, target, taken, first, spans), a row for each row of ``docs``.
 
     ``taken``: words of the document that the mix takes, repeats counted, at most ``max_epochs``
-    times its size. ``first``: the place of its first word in its source's shuffled order.
+    times its size; those of a source add up to its target, rounded. ``first``: the place of its first word in its source's shuffled order.
     ``spans``: array of (low, high, repeats), word ranges of the document by the blocks they fall in.
 
     The order within a source is by a hash of the id, then the id, then size; it is the same in
@@ -95,10 +114,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.lit(6)).alias("draw")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     shares = cut(targets(sources, weights, max_epochs))
-    least, total, rows = shares.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("source_size"), F.count(F.lit(1))).first()
-    total = total or 0
-    words = max(1, min(SLOT_WORDS, int((least or 0) / SLOTS_OF_LEAST)))
-    repeats = schedule(shares, words, total, max_epochs)
+    total = shares.agg(F.sum("source_size")).first()[0] or 0
+    words = max(SLOT_WORDS, total // MOST_SLOTS)
+    whole = F.least(F.lit(words), F.col("source_size") - F.col("block") * words)
+    # Of each block: how often it is taken whole, and up to which word once more.
+    slots = schedule(shares, words).alias("q").join(shares.select(F.col("source").alias("s"), "source_size"), F.expr("q.source <=> s"))
+    repeats = slots.groupBy("q.source", "block").agg(F.count_if(F.col("words") == whole).alias("repeats"), F.max(F.when(F.col("words") < whole, F.col("words"))).alias("part"))
 
     # Two-level running sums of words in the order of ``draw``: over buckets, then inside a bucket.
     buckets = max(1, sized.count() // BUCKET_ROWS)
@@ -118,8 +139,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = pieces.alias("p").join(r, F.expr("p.source <=> r.source and p.block = r.block"))
     lo = F.greatest(F.col("p.block") * words - F.col("first"), F.lit(0))
     hi = F.least((F.col("p.block") + 1) * words - F.col("first"), F.col("size"))
-    span = F.struct(lo.cast("long").alias("low"), hi.cast("long").alias("high"), F.col("repeats").alias("repeats"))
-    taken = pieces.groupBy(F.col("p.doc_id").alias("t_id"), F.col("p.source").alias("t_source"), F.col("first").alias("t_first")).agg(F.sum((hi - lo) * F.col("repeats")).cast("long").alias("taken"), F.sort_array(F.collect_list(span)).alias("spans"))
+    end = F.greatest(lo, F.least(hi, F.col("p.block") * words + F.coalesce("part", F.lit(0)) - F.col("first")))
+
+    def span(low: Column, high: Column, times: Column) -> Column:
+        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), times.alias("repeats"))
+
+    both = F.array(span(lo, end, F.col("repeats") + 1), span(end, hi, F.col("repeats")))
+    pieces = pieces.select("p.doc_id", "p.source", "first", F.explode(F.filter(both, lambda x: (x["low"] < x["high"]) & (x["repeats"] > 0))).alias("span"))
+    counted = F.sum((F.col("span.high") - F.col("span.low")) * F.col("span.repeats")).cast("long")
+    taken = pieces.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("first").alias("t_first"))
+    taken = taken.agg(counted.alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
     out = placed.join(taken, F.expr("doc_id <=> t_id and first = t_first and source <=> t_source and size > 0"), "left")
     s = shares.select(F.col("source").alias("s_source"), "source_size", "target")
     out = out.join(F.broadcast(s), F.expr("source <=> s_source"))
