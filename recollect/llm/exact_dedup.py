@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm._session import cut
+
 #: Runs of white space other than one lone space; a lone space is already what they become.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-#: At most so many surviving (length, prefix) groups are broadcast: 24 bytes each, under 8 MB. More are joined by a shuffle.
+#: At most so many surviving lengths or (length, prefix) groups are broadcast: 24 bytes each, under 8 MB; of groups
+#: with a whole hash an eighth of it. More are joined by a shuffle.
 BROADCAST_GROUPS = 300_000
 
 
@@ -32,24 +35,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them apart. An empty table gives no rows; further columns of ``docs`` are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
-    rows = rows.select("doc_id", "body", F.octet_length("body").alias("size"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head"))
-
-    sizes = rows.groupBy("size").count().where("count > 1").select("size")
-    pairs = rows.select("size", "head").join(sizes, "size", "left_semi").groupBy("size", "head").count().where("count > 1").select("size", "head", F.lit(True).alias("more"))
-
+    head, full = F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head"), F.sha2(F.col("body").cast("binary"), 256)
+    size = F.octet_length("body").alias("size")
     if digest_all:
-        rows = rows.withColumn("full", F.sha2(F.col("body").cast("binary"), 256)).drop("body")
-        marked = rows.join(pairs, ["size", "head"], "left")
+        # Every row is to have its hash, so one pass makes all three; the refinement works on them alone.
+        rows = cut(rows.select("doc_id", size, head, full.alias("full")))
     else:
-        marked = rows.join(_bounded(pairs), ["size", "head"], "left")
-        marked = marked.withColumn("full", F.when(F.col("more"), F.sha2(F.col("body").cast("binary"), 256))).drop("body")
+        rows = rows.select("doc_id", "body", size, head)
+
+    sizes = _bounded(cut(rows.groupBy("size").count().where("count > 1").select("size")))
+    heads = rows.select("size", "head").join(sizes, "size", "left_semi").groupBy("size", "head").count()
+    heads = _bounded(cut(heads.where("count > 1").select("size", "head", F.lit(True).alias("more"))))
+    marked = rows.join(heads, ["size", "head"], "left")
+    if not digest_all:
+        marked = cut(marked.select("doc_id", "more", F.when(F.col("more"), full).alias("full")))
 
-    groups = marked.where("more").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").withColumnRenamed("full", "key")
+    groups = marked.where("more").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = _bounded(cut(groups.where("group_size > 1").withColumnRenamed("full", "key")), 8)
     joined = marked.join(groups, F.col("more") & (F.col("full") == F.col("key")), "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.col("group_size").isNull()).alias("kept"), F.col("full").alias("text_sha256"))
+    kept = F.coalesce(F.col("doc_id") == keep, F.col("group_size").isNull())
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), F.col("full").alias("text_sha256"))
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """Broadcast the groups if they are few; else the texts are joined by a shuffle."""
-    return F.broadcast(pairs) if pairs.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else pairs
+def _bounded(groups: DataFrame, width: int = 1) -> DataFrame:
+    """Broadcast the groups if they are few; else they are joined by a shuffle, in which Spark can split a large group."""
+    most = BROADCAST_GROUPS // width
+    return F.broadcast(groups) if groups.limit(most + 1).count() <= most else groups

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ PARTS = 16
 
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"()-", b"!?", b"#$%&*+/<=>@[\\]^_`{|}~", b"\n", bytes(range(128, 256)))
 #: log bytes, log words, mean word bytes, its deviation, one share for each class of bytes, upper among letters,
-#: different words, most common word, words that repeat the one before, words that start a line of the text twice.
+#: share of different words, of the most common word, of words that repeat the one before.
 N_STATS = 4 + len(CLASSES) + 4
 
 
@@ -98,19 +99,20 @@ def _adder(mapping):
             part = np.concatenate([phi.T @ phi, (phi.T @ y)[None, :]])
             total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([int(abs(total[-1, 0]) * 1e6) % PARTS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([task % PARTS], pa.int32()), pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "task", "sums"])
 
     return add
 
 
-def _sum(batches):
+def _sum(group: pa.Table) -> pa.Table:
+    """The sums of a part, added in the order of tasks, so that reruns agree."""
+    group = group.sort_by("task")
     total = None
-    for batch in batches:
-        for x in batch.column(1):
-            own = np.frombuffer(x.as_buffer(), np.float64)
-            total = own.copy() if total is None else total + own
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+    for x in group.column("sums"):
+        own = np.frombuffer(x.as_buffer(), np.float64)
+        total = own.copy() if total is None else total + own
+    return pa.table({"part": group.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def _scorer(model):
@@ -138,7 +140,7 @@ def classify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     """(doc_id, score, predicted), a row for each row of ``docs``, from its whole text alone.
 
     ``labelled``: (id, label 0 or 1); all its rows with a match in ``docs`` and a non-null label are
-    learnt from. ``score`` is the calibrated chance of label 1; ``predicted`` is 1 from ``threshold`` on.
+    learnt from; of an id with several labels the largest counts. ``score`` is the calibrated chance of label 1; ``predicted`` is 1 from ``threshold`` on.
 
     Null text counts as empty, and empty texts are scored like others. Without labels every score is
     1.0 and predicted 1, so that nothing is rejected unlearnt; with labels of one kind, all scores are that kind.
@@ -154,8 +156,8 @@ def classify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     if not moments[0]:
         return stats.select("doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
     mapping = _Map(np.array(moments[1::2], float), np.array(moments[2::2], float))
-    sums = train.mapInArrow(_adder(spark.sparkContext.broadcast(mapping)), "part int, sums binary")
-    parts = sums.repartition(PARTS, "part").mapInArrow(_sum, "part int, sums binary").collect()
+    sums = train.mapInArrow(_adder(spark.sparkContext.broadcast(mapping)), "part int, task int, sums binary")
+    parts = sums.groupBy("part").applyInArrow(_sum, "part int, sums binary").orderBy("part").collect()
     total = sum(np.frombuffer(p.sums, np.float64) for p in parts).reshape(FEATURES + 2, FEATURES + 1)
     beta = np.linalg.solve(total[:-1] + RIDGE * np.eye(FEATURES + 1), total[-1])
     model = spark.sparkContext.broadcast((mapping, beta))

@@ -410,6 +410,33 @@ def test_isotonic_is_the_best_rising_curve():
     assert (np.diff(value) > 0).all() and value == pytest.approx([0, 2 / 3, 7 / 8])
 
 
+def test_quality_like_one_solve_over_all_rows(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality")
+    got = {r.doc_id: r.score for r in quality.classify(docs.repartition(5), labels).collect()}
+    label = dict(labels.where("quality is not null").toPandas().values.tolist())
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    hasher = WordHasher()
+    x = np.concatenate([quality._statistics(t.encode(), np.zeros(1, np.int64), hasher) for _, t in rows])
+    learnt = [k for k, (i, _) in enumerate(rows) if i in label]
+    y = np.array([label[rows[k][0]] for k in learnt], float)
+    z = np.clip((x - x[learnt].mean(0)) / np.where(x[learnt].std(0) > 1e-9, x[learnt].std(0), 1), -quality.REACH, quality.REACH)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, np.sqrt(2 * quality.GAMMA), (x.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    phi = np.concatenate([np.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b), np.ones((len(z), 1))], 1)
+    # Ridge regression as least squares over all rows at once, with rows of the penalty.
+    a = np.concatenate([phi[learnt], np.sqrt(quality.RIDGE) * np.eye(phi.shape[1])])
+    raw = phi @ np.linalg.lstsq(a, np.concatenate([y, np.zeros(phi.shape[1])]), rcond=None)[0]
+    at = np.clip(np.floor((raw[learnt] + 0.5) * quality.BINS / 2), 0, quality.BINS - 1)
+    bins = np.unique(at)
+    # Isotonic regression by its min-max formula: of mean labels over bins i to j.
+    good, n = np.array([y[at == v].sum() for v in bins]), np.array([(at == v).sum() for v in bins])
+    mean = np.array([[good[i : j + 1].sum() / n[i : j + 1].sum() if j >= i else np.nan for j in range(len(bins))] for i in range(len(bins))])
+    value = np.array([max(np.nanmin(mean[i, k:]) for i in range(k + 1)) for k in range(len(bins))])
+    knots = [((bins[value == v] * n[value == v]).sum() / n[value == v].sum(), v) for v in np.unique(value)]
+    want = np.interp(raw, [(p + 0.5) * 2 / quality.BINS - 0.5 for p, _ in knots], [v for _, v in knots])
+    assert np.abs(want - [got[i] for i, _ in rows]).max() < 1e-6
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(2, 0), (4, 1), (7, 0), (8, 1), (None, 1), (9, None)], "doc_id long, label int")
     got = quality.classify(odd, labels).collect()
