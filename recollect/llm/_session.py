@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: documents can be long, and a worker holds a whole batch.
-ARROW_ROWS = 1024
+ARROW_ROWS, ARROW_BYTES = 1024, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
+    """Bound what a Python worker holds at once, by rows and, where Spark can, by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; one of its own only where that is unset and all runs on this machine."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recollect-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="recollect-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

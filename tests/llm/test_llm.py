@@ -133,6 +133,38 @@ def test_language_held_out(spark, docs):
     assert n > 20 and right / n > 0.95
 
 
+def test_language_like_kernels_of_sets(spark, docs):
+    """The whole method again with sets of n-grams, on few documents."""
+    few = docs.where("length(text) < 1500").limit(60)
+    rows = [(r.doc_id, r.text.lower().encode(), r.lang) for r in few.withColumn("h", F.xxhash64("doc_id")).orderBy("h").collect()]
+    sets = [[{t[i : i + n] for i in range(len(t) - n + 1)} for n in (1, 2, 3)] for _, t, _ in rows]
+    kernel = np.array([[sum(len(x & y) / max(1, len(x) * len(y)) ** 0.5 for x, y in zip(a, b)) for b in sets] for a in sets])
+    learnt = [k for k, r in enumerate(rows) if r[2] is not None and re.search(r"[^\W\d_]", r[1].decode())]
+    names = sorted({rows[k][2] for k in learnt})
+    marks = [k for v in names for k in [k for k in learnt if rows[k][2] == v][: language_id.LANDMARKS_PER_LANGUAGE]]
+    values, vectors = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    root = vectors[:, values > values[-1] * 1e-8] / np.sqrt(values[values > values[-1] * 1e-8])
+    z = np.concatenate([kernel[:, marks] @ root, np.ones((len(rows), 1))], 1)
+    y = np.array([names.index(rows[k][2]) for k in learnt])
+    weight = len(y) / len(names) / np.bincount(y)[y]
+    a = np.concatenate([z[learnt] * weight[:, None] ** 0.5, (language_id.RIDGE * len(y)) ** 0.5 * np.eye(z.shape[1])])
+    b = np.concatenate([np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0) * weight[:, None] ** 0.5, np.zeros((z.shape[1], len(names)))])
+    raw = z @ np.linalg.lstsq(a, b, rcond=None)[0]
+    chance = np.exp(language_id.SHARPNESS * raw)
+    chance /= chance.sum(1, keepdims=True)
+    got = {r.doc_id: r for r in language_id.identify(few, few).collect()}
+    for (i, *_), own in zip(rows, chance):
+        assert got[i].lang_pred == names[own.argmax()] and got[i].score == pytest.approx(own.max(), abs=2e-3)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % 7}" if i % 2 else "hot") for i in range(3000)], "doc_id long, text string, lang string")
+    n = {r.lang: r["count"] for r in language_id.training_sample(df, "doc_id", "text", "lang", 40).groupBy("lang").count().collect()}
+    assert n == {"hot": 40} | {f"l{i}": 40 for i in range(7)}
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 20)
+    assert language_id.training_sample(df, "doc_id", "text", "lang", 40).count() == 16
+
+
 def test_language_alone_and_in_company(spark, docs):
     few = docs.limit(40)
     together = {r.doc_id: (r.lang_pred, round(r.score, 4)) for r in language_id.identify(few, docs).collect()}
@@ -293,6 +325,8 @@ def test_lines_odd_rows(spark, odd):
 
 def test_neighbours_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE", 5)
+    monkeypatch.setattr(neighbours, "QUERY_NUMBERS", 4)
+    monkeypatch.setattr(neighbours, "CANDIDATE_NUMBERS", 20)
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, float(i % 3)]) for i in range(40)] + [(50, None), (51, [0.0, 0.0]), (52, [nan, 1.0]), (53, [inf, 1.0]), (54, [None, 1.0]), (55, [1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
