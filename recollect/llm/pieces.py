@@ -28,8 +28,8 @@ SPACE = "▁"
 #: Units in the broadcast table, and their greatest length in characters: under 16 MB.
 FREQUENT_UNITS = 1 << 16
 UNIT_CHARS = 32
-#: Rare units that a task remembers; then it forgets them all.
-REMEMBERED = 1 << 18
+#: Bytes of rare units and their ids that a worker remembers; then it forgets them all. An entry has so many more, about.
+REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Above so many characters a heap finds the best pair; below, a scan is faster.
 SCAN_CHARS = 48
 #: A merge never joins a character other than a space to a space after it, nor anything to a newline.
@@ -185,13 +185,19 @@ def _encoder(shared):
                 try:
                     ids = b"".join([rare[u] for u in units])
                 except KeyError:
-                    if len(rare) > frequent.num_rows + REMEMBERED:
+                    new = {u: _packed(pieces.merge(u)) for u in set(units) if u not in rare}
+                    size = sum(4 * len(u) + len(x) + ENTRY_BYTES for u, x in new.items())
+                    if rare.get(None, 0) + size > REMEMBERED_BYTES:
                         rare.clear()
                         rare.update(_table(frequent, pieces))
-                    for u in units:
-                        if u not in rare:
-                            rare[u] = _packed(pieces.merge(u))
-                    ids = b"".join([rare[u] for u in units])
+                    if size > REMEMBERED_BYTES:  # a text too long to be remembered
+                        ids = b"".join([new[u] if u in new else rare[u] if u in rare else _packed(pieces.merge(u)) for u in units])
+                    else:
+                        # What was forgotten just now is merged again.
+                        new |= {u: _packed(pieces.merge(u)) for u in set(units) if u not in rare and u not in new}
+                        rare.update(new)
+                        rare[None] = rare.get(None, 0) + size
+                        ids = b"".join([rare[u] for u in units])
                 out.append(ids)
                 ends.append(ends[-1] + len(ids) // 4)
             flat = np.frombuffer(b"".join(out), np.int32)

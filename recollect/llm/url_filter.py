@@ -2,7 +2,8 @@
 
 Each rule is filed under one token that any URL it fits must contain; of its tokens, the one
 that fewest rules have. The tokens of a URL fetch candidate rules, and only those are tested
-by their regular expression. Only DataFrame functions, no shuffle of the URLs.
+by their regular expression. Only DataFrame functions. A short index is a literal of the plan and no
+URL is shuffled; a long one is a table, joined with the tokens of the different URLs.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The index is a literal of the plan; above so many rules, use several calls and combine their verdicts.
-MAX_RULES = 4096
+#: Up to so many rules the index is a literal of the plan; more are a table that is joined by token.
+PLAN_RULES = 4096
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,6 @@ def url_path(url: Column) -> Column:
 
 def index(rules: list[Rule]) -> dict[str, list[Rule]]:
     """Rules by their rarest literal token (ties: the longest, then the first by code point)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     often = Counter(w for r in rules for w in set(r.words))
     filed: dict[str, list[Rule]] = {}
     for rule in rules:
@@ -75,20 +74,38 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     """
     filed = index(rules)
     base = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    target = F.concat("host", "path")
-    tokens = F.array_distinct(F.split(F.lower(target), "[^a-z0-9]+"))
-    base = base.select("*", target.alias("target"), tokens.alias("tokens"))
     if not filed:
         return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    judged = _literal(base, filed) if len(rules) <= PLAN_RULES else _joined(base, filed)
+    rule = F.when(F.col("best.name") != "", F.col("best.name"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _tokens(target: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(target), "[^a-z0-9]+"))
+
+
+def _literal(base: DataFrame, filed: dict[str, list[Rule]]) -> DataFrame:
+    """``base`` and best, the first of the rules that fit; the index stands in the plan."""
 
     def entry(rule: Rule) -> Column:
         return F.struct(F.lit(-rule.rank).alias("order"), F.lit(rule.name).alias("name"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.pattern).alias("pattern"))
 
+    target = F.concat("host", "path")
+    base = base.select("*", target.alias("target"), _tokens(target).alias("tokens"))
     table = F.create_map(*[x for token, of in filed.items() for x in (F.lit(token), F.array(*map(entry, of)))])
     known = F.array(*map(F.lit, filed))
-    hits = F.array_intersect(F.col("tokens"), known)
-    found = F.flatten(F.transform(hits, lambda t: F.element_at(table, t)))
+    found = F.flatten(F.transform(F.array_intersect(F.col("tokens"), known), lambda t: F.element_at(table, t)))
     fits = F.filter(found, lambda r: F.regexp_like(F.col("target"), r["pattern"]))
-    best = F.array_min(fits)
-    judged = base.select("page_id", "host", "path", best.alias("best"))
-    return judged.select("page_id", "host", "path", F.when(F.col("best.name") != "", F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return base.select("page_id", "host", "path", F.array_min(fits).alias("best"))
+
+
+def _joined(base: DataFrame, filed: dict[str, list[Rule]]) -> DataFrame:
+    """The same by joins: the tokens of each different URL meet the table of rules; a URL is judged once."""
+    rows = [(token, -r.rank, r.name, r.verdict, r.pattern) for token, of in filed.items() for r in of]
+    table = base.sparkSession.createDataFrame(rows, "token string, order long, name string, verdict string, pattern string")
+    target = F.concat("host", "path")
+    urls = base.select("host", "path").distinct().select("host", "path", F.explode(_tokens(target)).alias("token"))
+    fits = urls.join(table, "token").where(F.regexp_like(target, F.col("pattern")))
+    best = fits.groupBy("host", "path").agg(F.min(F.struct("order", "name", "verdict")).alias("best"))
+    return base.join(best, ["host", "path"], "left")

@@ -190,8 +190,10 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
 
 
-def test_pieces_like_the_library(spark, docs, library, monkeypatch):
+@pytest.mark.parametrize("remembered", [64 << 20, 30_000, 10])
+def test_pieces_like_the_library(spark, docs, library, monkeypatch, remembered):
     monkeypatch.setattr(pieces, "FREQUENT_UNITS", 300)
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", remembered)
     rows = pieces.decode(pieces.encode(docs)).collect()
     assert len(rows) == docs.count()
     assert all(list(r.token_ids) == library.encode(r.text) and r.decoded == r.text for r in rows)
@@ -422,6 +424,32 @@ def test_url_parts_and_rules(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    hosts = [".".join(rng.choice(list("abcde"), rng.integers(1, 4))) for _ in range(60)]
+    rules = queries.URL_RULES + [url_filter.host_rule(h, "/" + "/".join(rng.choice(list("xy"), rng.integers(0, 3))), "block" if i % 2 else "allow") for i, h in enumerate(hosts)]
+    urls = [f"http://{'.'.join(rng.choice(list('abcde'), rng.integers(1, 5)))}/{'/'.join(rng.choice(list('xyz'), rng.integers(0, 4)))}" for _ in range(300)]
+    urls += [None, "", "nothing", "http://", "http://a/x", "http://a/x", "http://bet.org/", "x://a.b/" + "long/" * 20_000, "x://" + "a." * 20_000 + "com/"]
+    df = spark.createDataFrame([(i // 2, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    literal = sorted(map(str, url_filter.filter_urls(df, rules).collect()))
+    monkeypatch.setattr(url_filter, "PLAN_RULES", 0)
+    assert sorted(map(str, url_filter.filter_urls(df, rules).collect())) == literal and len(literal) == len(urls)
+    assert url_filter.filter_urls(df.where("false"), rules).count() == 0
+
+    def judge(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [r for r in rules if r.name and any(host == h or host.endswith("." + h) for h in [r.name.split("/")[0]]) and path.startswith("/" + r.name.split("/", 1)[1])]
+        return min(((-len(r.name), r.name, r.verdict) for r in fits), default=None)
+
+    got = {(r.host, r.path): (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    for u in urls:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        want = judge(u)
+        if want:
+            assert got[(m[1].lower(), m[2])] == (want[1], want[2])
+
+
 def test_rules_are_filed_under_their_rarest_word():
     filed = url_filter.index([url_filter.host_rule("a.com", "/", "allow"), url_filter.host_rule("b.com", "/", "block"), url_filter.host_rule("com", "/", "allow")])
     assert {k: [r.name for r in v] for k, v in filed.items()} == {"a": ["a.com/"], "b": ["b.com/"], "com": ["com/"]}
