@@ -26,9 +26,40 @@ def fold(text: Column) -> Column:
     return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, *_accents()))
 
 
+def segment(text: Column) -> Column:
+    """Text with a space at each bound between CJK and other letters, then its CJK bigrams."""
+    split = F.regexp_replace(F.regexp_replace(text, f"({CJK})([A-Za-z0-9])", "$1 $2"), f"([A-Za-z0-9])({CJK})", "$1 $2")
+    even = F.regexp_extract_all(text, F.lit(CJK + "{2}"), F.lit(0))
+    odd = F.regexp_extract_all(F.regexp_replace(text, f"(?<!{CJK}){CJK}(?={CJK})", ""), F.lit(CJK + "{2}"), F.lit(0))
+    return F.when(has_cjk(text), F.concat_ws(" ", split, F.array_join(F.array_distinct(F.concat(even, odd)), " "))).otherwise(text)
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of the folded text."""
-    return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
+    """Runs of letters and digits of the folded text, CJK text segmented."""
+    low = fold(text)
+    return F.regexp_extract_all(F.when(_is_ascii(low), low).otherwise(segment(low)), F.lit(TOKEN), F.lit(0))
+
+
+def spaced(folded: Column) -> Column:
+    """:func:`tokens` of a folded text in one string, each with a space of its own before and after it; no arrays are made."""
+    runs = F.when(_is_ascii(folded), F.regexp_replace(folded, "[^a-z0-9]+", "  ")).otherwise(F.regexp_replace(segment(folded), r"[^\p{L}\p{N}]+", "  "))
+    return F.concat(F.lit(" "), F.trim(runs), F.lit(" "))
+
+
+def times_in(spaced_: Column, term: str) -> Column:
+    """How often a term is a token of a :func:`spaced` text."""
+    left = F.octet_length(F.replace(spaced_, F.lit(f" {term} "), F.lit("")))
+    return ((F.octet_length(spaced_) - left) / float(len(term.encode()) + 2)).cast("int")
+
+
+def tokens_in(spaced_: Column) -> Column:
+    """How many tokens a :func:`spaced` text has."""
+    spaces = F.octet_length(spaced_) - F.octet_length(F.replace(spaced_, F.lit(" "), F.lit("")))
+    return F.when(F.octet_length(spaced_) == 2, 0).otherwise((spaces / 2.0).cast("int"))
 
 
 def layer_default_decay(layer: Column) -> Column:

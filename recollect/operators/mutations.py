@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import scalars as X
+from recollect.operators import text
+from recollect.operators.lineage import cut
 
 
 def prepare(inputs: DataFrame, now_ms: int, epoch: int) -> DataFrame:
@@ -42,13 +44,13 @@ def insert_batch(memories: DataFrame, inputs: DataFrame, now_ms: int, epoch: int
 def insert(memories: DataFrame, inputs: DataFrame, now_ms: int, epoch: int, pairs: DataFrame | None = None, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
     """All memories after the inputs came in; an input that repeats a memory of its namespace reinforces it.
 
-    ``pairs`` (id of the input, of the memory): which inputs repeat which memory; by default the word
-    sets of both overlap by over ``insert_merge_jaccard``. The memory gets the new text, the tags of both,
+    ``pairs`` (id of the input, of the memory): which inputs repeat which memory; by default those of
+    :func:`duplicates_of` with ``insert_merge_jaccard``. The memory gets the new text, the tags of both,
     the higher layer, and max(given importance, its own + 0.05). Of several inputs the last by id counts.
     """
     rows = prepare(inputs, now_ms, epoch).where(F.col("error").isNull()).drop("error")
     if pairs is None:
-        pairs = duplicates_of(memories, rows, t.insert_merge_jaccard)
+        pairs = cut(duplicates_of(memories, rows, t.insert_merge_jaccard, t))
     best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("jaccard"), "old_id"))).where("_r = 1")
     last = best.withColumn("_r", F.row_number().over(Window.partitionBy("old_id").orderBy(F.desc("new_id")))).where("_r = 1").select("new_id", "old_id")
     hits = best.groupBy(F.col("old_id").alias("_old")).agg(F.count(F.lit(1)).alias("_hits"))
@@ -65,14 +67,19 @@ def insert(memories: DataFrame, inputs: DataFrame, now_ms: int, epoch: int, pair
     return changed.select(*S.MEMORY_COLS).unionByName(fresh.select(*S.MEMORY_COLS))
 
 
-def duplicates_of(memories: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(new_id, old_id, jaccard) of one namespace, joined on the words that both have."""
-    new = rows.select(F.col("id").alias("new_id"), "namespace", X.dedup_words(F.col("content")).alias("x")).where(F.size("x") >= 3)
-    old = memories.select(F.col("id").alias("old_id"), "namespace", X.dedup_words(F.col("content")).alias("y")).where(F.size("y") >= 3)
-    a = new.select("new_id", "namespace", F.size("x").alias("n"), F.explode("x").alias("w"))
-    b = old.select("old_id", "namespace", F.size("y").alias("m"), F.explode("y").alias("w"))
-    common = a.join(b, ["namespace", "w"]).groupBy("new_id", "old_id", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    return common.select("new_id", "old_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") > threshold)
+def duplicates_of(memories: DataFrame, rows: DataFrame, threshold: float, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
+    """(new_id, old_id, jaccard) of one namespace: which memories the new rows repeat.
+
+    Word sets overlap by over ``threshold``; where both have vectors they must overlap by over ``dedup_jaccard_prefilter``
+    and the cosine be over ``dedup_cosine`` instead. All memories that share a rare word are compared, not a few text hits.
+    """
+    loose = min(threshold, t.dedup_jaccard_prefilter)
+    pairs = text.jaccard_join(rows, memories, loose)
+    x = rows.select(F.col("id").alias("new_id"), F.col("embedding").alias("x"))
+    y = memories.select(F.col("id").alias("old_id"), F.col("embedding").alias("y"))
+    both = pairs.join(x, "new_id").join(y, "old_id").withColumn("cosine", X.cosine(F.col("x"), F.col("y")))
+    near = F.when(F.col("cosine").isNull(), F.col("jaccard") > threshold).otherwise(F.col("cosine") > t.dedup_cosine)
+    return both.where(near).select("new_id", "old_id", "jaccard")
 
 
 def _update(memories: DataFrame, ids: DataFrame, columns: dict[str, Column]) -> DataFrame:

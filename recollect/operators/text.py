@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import scalars as X
+from recollect.operators.lineage import cut, local
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+segment = X.segment
 
 
 def searchable() -> Column:
@@ -21,71 +25,73 @@ def searchable() -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Terms of a query, folded like the index, repeats kept."""
+    """Terms of a query, folded like the index, repeats kept; of CJK text its bigrams, or a character that stands alone."""
     low = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", low)
+    out = []
+    for run in re.findall(r"[^\W_]+", unicodedata.normalize("NFC", low)):
+        for part in re.findall(f"{X.CJK}+|(?:(?!{X.CJK}).)+", run):
+            cjk = re.match(X.CJK, part) and len(part) > 1
+            out += [part[i : i + 2] for i in range(len(part) - 1)] if cjk else [part]
+    return out
 
 
-def _is(term: str):
-    return lambda w: w == F.lit(term)
-
-
-def _tokenised(memories: DataFrame, terms: list[str]) -> DataFrame:
-    """Document length and term frequencies; nothing is exploded or shuffled."""
-    toks = X.tokens(searchable())
-    df = memories.withColumn("_t", toks)
-    tfs = [F.size(F.filter("_t", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    return df.select(*[c for c in memories.columns], F.size("_t").alias("_dl"), *tfs)
+@dataclass(frozen=True)
+class Counts:
+    """What one pass over the texts tells about some terms.
 
+    ``rows``: (id, namespace, _dl, _tf0, ...), checkpointed; ``df``: documents with each term; ``n``, ``mean``: how many
+    documents there are and their mean length.
+    """
 
-def corpus_stats(tokenised: DataFrame, n_terms: int) -> DataFrame:
-    """One row: documents, mean length, and document frequencies of the terms."""
-    return tokenised.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(n_terms)])
+    rows: DataFrame
+    terms: tuple[str, ...]
+    df: dict[str, int]
+    n: int
+    mean: float
+
+    def is_noise(self, term: str, t: S.Thresholds) -> bool:
+        return self.n >= t.noise_min_docs and self.df[term] / self.n > t.noise_df_ratio
+
+    def bm25(self, query: str, t: S.Thresholds = S.DEFAULTS) -> Column:
+        """Terms in over 80 % of at least five documents are noise and dropped."""
+        terms, parts = query_terms(query), [F.lit(0.0)]
+        for term in dict.fromkeys(terms):
+            if self.df[term] and not self.is_noise(term, t):
+                tf = F.col(f"_tf{self.terms.index(term)}")
+                gain = idf(F.lit(float(self.n)), F.lit(float(self.df[term]))) * tf * (K1 + 1) / (tf + (F.col("_dl") / F.lit(self.mean) * B + (1 - B)) * K1)
+                parts.append(F.when(tf == 0, 0.0).otherwise(gain * terms.count(term)))
+        return reduce(lambda a, b: a + b, parts)
+
+    def best(self, query: str, limit: int, namespace: str | None = None, t: S.Thresholds = S.DEFAULTS) -> list[tuple[str, float]]:
+        """(id, bm25) of the ``limit`` best matches of any term, best first, on the driver."""
+        rows = self.rows if namespace is None else self.rows.where(F.col("namespace") == namespace)
+        found = rows.select("id", self.bm25(query, t).alias("bm25")).where("bm25 > 0")
+        return [(r.id, r.bm25) for r in found.orderBy(F.desc("bm25"), "id").limit(limit).collect()]
+
+
+def count_terms(memories: DataFrame, queries: list[str]) -> Counts:
+    """Tokenise all texts once and count the terms of all ``queries``; nothing is exploded or shuffled."""
+    terms = tuple(dict.fromkeys(w for q in queries for w in query_terms(q)))
+    folded = memories.select("id", "namespace", X.fold(searchable()).alias("_f"))
+    texts = folded.select("id", "namespace", X.spaced(F.col("_f")).alias("_s"))
+    tfs = [X.times_in(F.col("_s"), t).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    rows = cut(texts.select("id", "namespace", X.tokens_in(F.col("_s")).alias("_dl"), *tfs))
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    return Counts(rows, terms, {t: one[f"df{i}"] for i, t in enumerate(terms)}, one.n, one.mean or 1.0)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
 
 
-def statistics(memories: DataFrame, query: str) -> Row:
-    """One row to the driver: documents, mean length and the document frequency of each different term of the query."""
-    distinct = list(dict.fromkeys(query_terms(query)))
-    return corpus_stats(_tokenised(memories, distinct), len(distinct)).first()
-
+def search(memories: DataFrame, query: str, limit: int, namespace: str | None = None, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
+    """The ``limit`` best matches of any term with a column bm25, best first.
 
-def bm25_scores(memories: DataFrame, query: str, t: S.Thresholds = S.DEFAULTS, stats: Row | None = None) -> DataFrame:
-    """``memories`` with a column bm25 for the query, 0 where no term occurs.
-
-    Terms in over 80 % of at least five documents are noise and dropped. Statistics are of all rows
-    given, so filter the result, not the input; they are one broadcast row, or literals if ``stats`` is
-    :func:`statistics` of the same query.
+    Statistics are of all rows given; only the ids of the matches are joined back.
     """
-    terms = query_terms(query)
-    if not terms:
-        return memories.withColumn("bm25", F.lit(0.0))
-    distinct = list(dict.fromkeys(terms))
-    df = _tokenised(memories, distinct)
-    if stats is None:
-        df = df.crossJoin(F.broadcast(corpus_stats(df, len(distinct))))
-        of = F.col
-    else:
-        of = lambda name: F.lit(stats[name])
-    parts = []
-    for i, term in enumerate(distinct):
-        tf, freq = F.col(f"_tf{i}"), of(f"_df{i}")
-        noise = (of("_n") >= t.noise_min_docs) & (freq / of("_n") > t.noise_df_ratio)
-        gain = idf(of("_n"), freq) * tf * (K1 + 1) / (tf + (F.col("_dl") / of("_avg") * B + (1 - B)) * K1)
-        parts.append(F.when((tf == 0) | noise, 0.0).otherwise(gain * terms.count(term)))
-    total = reduce(lambda a, b: a + b, parts)
-    return df.select(*memories.columns, total.alias("bm25"))
-
-
-def search(memories: DataFrame, query: str, limit: int, namespace: str | None = None, t: S.Thresholds = S.DEFAULTS, stats: Row | None = None) -> DataFrame:
-    """The ``limit`` best matches of any term, best first."""
-    df = bm25_scores(memories, query, t, stats).where("bm25 > 0")
-    if namespace is not None:
-        df = df.where(F.col("namespace") == namespace)
-    return df.orderBy(F.desc("bm25"), "id").limit(limit)
+    found = count_terms(memories, [query]).best(query, limit, namespace, t)
+    hits = local(memories.sparkSession, {"id": ([i for i, _ in found], pa.string()), "bm25": ([x for _, x in found], pa.float64())})
+    return memories.join(F.broadcast(hits), "id").select(*memories.columns, "bm25").orderBy(F.desc("bm25"), "id")
 
 
 def postings(memories: DataFrame) -> DataFrame:
@@ -132,12 +138,37 @@ def repair_index(index: DataFrame, memories: DataFrame) -> DataFrame:
     return kept.unionByName(postings(memories.join(ids, "id", "left_anti")))
 
 
-def segment(text: Column) -> Column:
-    """Text with a space at each bound between CJK and other letters, then its CJK bigrams."""
-    split = F.regexp_replace(F.regexp_replace(text, f"({X.CJK})([A-Za-z0-9])", "$1 $2"), f"([A-Za-z0-9])({X.CJK})", "$1 $2")
-    even = F.regexp_extract_all(text, F.lit(X.CJK + "{2}"), F.lit(0))
-    odd = F.regexp_extract_all(F.regexp_replace(text, f"(?<!{X.CJK}){X.CJK}(?={X.CJK})", ""), F.lit(X.CJK + "{2}"), F.lit(0))
-    return F.when(X.has_cjk(text), F.concat_ws(" ", split, F.array_join(F.array_distinct(F.concat(even, odd)), " "))).otherwise(text)
+#: Buckets of word hashes whose counts order the words of the prefix filter; 256 KB, whatever the vocabulary.
+WORD_BUCKETS = 1 << 16
+
+
+def word_sets(df: DataFrame, id_col: str = "id", text_col: str = "content", by: str | None = None) -> DataFrame:
+    """(id, _by, w): hashes of the different words of each text with three or more, in ascending order."""
+    words = F.sort_array(F.transform(X.dedup_words(F.col(text_col)), lambda x: F.xxhash64(x)))
+    rows = df.select(F.col(id_col).alias("id"), (F.col(by) if by else F.lit("")).alias("_by"), words.alias("w"))
+    return rows.where(F.size("w") >= 3)
+
+
+def word_counts(sets: DataFrame) -> Column:
+    """An array of how many sets have words of each bucket. It orders the prefix filter and decides no result."""
+    words = sets.select(F.explode("w").alias("word"))
+    rows = words.groupBy(F.pmod("word", F.lit(WORD_BUCKETS)).alias("bucket")).count().collect()
+    counts = [0] * WORD_BUCKETS
+    for r in rows:
+        counts[r.bucket] = min(r["count"], (1 << 31) - 1)
+    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<int>")
+
+
+def prefix_keys(w: Column, counts: Column, threshold: float) -> Column:
+    """The words of a set, rare ones first, of which one is shared by any other set that overlaps by over ``threshold``."""
+    ranked = F.sort_array(F.transform(w, lambda x: F.struct(F.get(counts, F.pmod(x, F.lit(WORD_BUCKETS)).cast("int")).alias("n"), x.alias("x"))))
+    return F.transform(F.slice(ranked, 1, (F.size(w) - F.ceil(F.size(w) * threshold) + 1).cast("int")), lambda s: s["x"])
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays of different values."""
+    both = F.size(F.array_intersect(x, y))
+    return both / (F.size(x) + F.size(y) - both)
 
 
 def jaccard_pairs(df: DataFrame, threshold: float, id_col: str = "id", text_col: str = "content", by: str | None = None) -> DataFrame:
@@ -145,22 +176,27 @@ def jaccard_pairs(df: DataFrame, threshold: float, id_col: str = "id", text_col:
 
     Prefix filter: words are ordered from rare to common, and a pair over the threshold shares one
     among the first n - ceil(threshold * n) + 1 of each; only those meet. Equal word sets meet once,
-    as one; their copies are linked to the smallest id, with jaccard 1.
+    as one; their copies are linked to the smallest id, with jaccard 1. Words are compared by 64-bit hashes.
     """
-    from pyspark.sql import Window
-
-    extra = [F.col(by).alias("_by")] if by else [F.lit("").alias("_by")]
-    base = df.select(F.col(id_col).alias("id"), F.array_sort(X.dedup_words(F.col(text_col))).alias("w"), *extra).where(F.size("w") >= 3)
-    classes = base.groupBy("_by", "w").agg(F.min("id").alias("rep"))
-    words = classes.select("_by", "rep", F.size("w").alias("n"), F.explode("w").alias("word"))
-    freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(freq, "word").withColumn("r", F.row_number().over(Window.partitionBy("_by", "rep").orderBy("df", "word")))
-    keys = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("_by", "word", "rep", "n")
+    base = cut(word_sets(df, id_col, text_col, by).withColumn("k", F.sha2(F.concat_ws(",", F.col("w").cast("array<string>")), 256)))
+    classes = cut(base.groupBy("_by", "k").agg(F.min("id").alias("rep"), F.first("w").alias("w")))
+    keys = classes.select("_by", "rep", F.size("w").alias("n"), F.explode(prefix_keys(F.col("w"), word_counts(classes), threshold)).alias("word"))
     a, b = keys.alias("a"), keys.alias("b")
     near = (F.col("a._by") == F.col("b._by")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold)
     pairs = a.join(b, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     sets = classes.select("rep", "w")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("w").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("w").alias("y")), "b")
-    found = both.select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") > threshold)
-    copies = base.join(classes, ["_by", "w"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    found = both.select("a", "b", overlap(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") > threshold)
+    copies = base.drop("w").join(classes.drop("w"), ["_by", "k"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return found.unionByName(copies)
+
+
+def jaccard_join(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
+    """(new_id, old_id, jaccard): texts of ``new`` and ``old`` (id, namespace, content) of one namespace that overlap by over ``threshold``."""
+    x, y = cut(word_sets(new, by="namespace")), word_sets(old, by="namespace")
+    counts = word_counts(x)
+    a = x.select("_by", F.col("id").alias("new_id"), F.size("w").alias("n"), F.col("w").alias("x"), F.explode(prefix_keys(F.col("w"), counts, threshold)).alias("word"))
+    b = y.select("_by", F.col("id").alias("old_id"), F.size("w").alias("m"), F.explode(prefix_keys(F.col("w"), counts, threshold)).alias("word"))
+    met = a.drop("x").join(b, ["_by", "word"]).where(F.least("n", "m") >= F.greatest("n", "m") * threshold).select("new_id", "old_id").distinct()
+    both = met.join(x.select(F.col("id").alias("new_id"), F.col("w").alias("x")), "new_id").join(y.select(F.col("id").alias("old_id"), F.col("w").alias("y")), "old_id")
+    return both.select("new_id", "old_id", overlap(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") > threshold)

@@ -1,8 +1,8 @@
 """Hybrid recall: keyword, vector and fact candidates fused into one ranking under a token budget.
 
-One row of corpus statistics comes to the driver first; then one logical plan goes from the tables to the page.
-The number of candidates, which decides how vectors are searched, is a broadcast row of that plan; what else is
-broadcast are ids of lists of a few hundred.
+The texts are tokenised once, to a narrow checkpointed table of term counts, for all queries of a request. Keyword and
+vector hits are bounded by the page, so they come to the driver as lists of a few hundred ids and scores; the number of
+candidates decides how vectors are searched. The last step joins the memories with those lists.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import scalars as X
 from recollect.operators import facts as G
 from recollect.operators import scans, text, vector
+from recollect.operators.lineage import cut, local
 
 
 @dataclass(frozen=True)
@@ -60,50 +62,56 @@ def _ids(df: DataFrame) -> DataFrame:
     return df.select("id")
 
 
-def candidates(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds = S.DEFAULTS, stats: Row | None = None) -> dict[str, DataFrame]:
-    """fts (id, bm25, f), extra (id, relevance), linked (id), core (id), all (id)."""
-    fts = text.search(memories, r.query, r.fetch * 3, r.namespace, t, stats).select("id", "bm25")
-    top = fts.agg(F.greatest(F.lit(0.001), F.max("bm25")).alias("_m"))
-    fts = fts.crossJoin(F.broadcast(top)).select("id", "bm25", (F.col("bm25") / F.col("_m")).alias("f"))
-    extra = None
-    for n, q in enumerate(r.extra_queries):
-        hits = text.search(memories, q, r.page, r.namespace, t).select("id", "bm25")
-        best = hits.agg(F.greatest(F.lit(0.001), F.max("bm25")).alias("_m"))
-        hits = hits.crossJoin(F.broadcast(best)).select("id", (F.col("bm25") / F.col("_m") * 0.85).alias("x"), F.lit(n).alias("n"))
-        extra = hits if extra is None else extra.unionByName(hits)
-    if extra is not None:
-        extra = extra.groupBy("id").agg(F.min_by("x", "n").alias("x"))
+@dataclass(frozen=True)
+class Candidates:
+    """Keyword hits by the first query and by the others, as bounded maps on the driver; ``linked`` and ``core`` are tables of ids."""
+
+    fts: dict[str, float]
+    extra: dict[str, float]
+    linked: DataFrame
+    core: DataFrame
+
+
+def candidates(memories: DataFrame, facts: DataFrame, r: Request, counts: text.Counts, t: S.Thresholds = S.DEFAULTS) -> Candidates:
+    def hits(query: str, limit: int) -> dict[str, float]:
+        found = counts.best(query, limit, r.namespace, t)
+        best = max([0.001, *(x for _, x in found)])
+        return {i: x / best for i, x in found}
+
+    extra: dict[str, float] = {}
+    for q in r.extra_queries:
+        extra = {i: x * 0.85 for i, x in hits(q, r.page).items()} | extra  # the first query that finds a row counts
     linked = G.lookup(facts, r.query, r.namespace or S.DEFAULT_NAMESPACE).select(F.col("memory_id").alias("id")).distinct()
     core = _ids(scans.list_filtered(memories, CORE_CANDIDATES, namespace=r.namespace, layer=S.CORE))
-    every = _ids(fts).union(linked).union(core)
-    every = every.union(_ids(extra)) if extra is not None else every
-    return {"fts": fts, "extra": extra, "linked": linked, "core": core, "all": every.distinct()}
+    return Candidates(hits(r.query, r.fetch * 3), extra, cut(linked), core)
 
 
-def semantic(memories: DataFrame, found: DataFrame, r: Request) -> DataFrame:
-    """(id, sim): the nearest 3 * fetch rows, among the candidates only if they are twice the page or more."""
+def semantic(memories: DataFrame, c: Candidates, r: Request) -> dict[str, float]:
+    """Similarities of the nearest 3 * fetch rows, among the candidates only if they are twice the page or more."""
     if r.vector is None:
-        return memories.sparkSession.createDataFrame([], "id string, sim double")
-    enough = found.agg((F.count(F.lit(1)) >= 2 * (r.offset + r.page)).alias("_enough"))
-    scored = vector.with_similarity(memories.where(F.col("embedding").isNotNull()), r.vector, "sim").where("sim > 0").select("id", "namespace", "sim")
-    marked = scored.join(found.withColumn("_c", F.lit(True)), "id", "left").crossJoin(F.broadcast(enough))
-    inside: Column = F.lit(True) if r.namespace is None else F.col("namespace") == r.namespace
-    kept = marked.where(F.when(F.col("_enough"), F.coalesce("_c", F.lit(False))).otherwise(inside))
-    return kept.orderBy(F.desc("sim"), "id").limit(3 * r.fetch).select("id", "sim")
+        return {}
+    spark = memories.sparkSession
+    found = local(spark, {"id": ([*c.fts, *c.extra], pa.string())})
+    found = cut(found.union(c.linked).union(c.core).distinct())
+    rows = memories.where(F.col("embedding").isNotNull())
+    if found.count() >= 2 * (r.offset + r.page):
+        rows = rows.join(found, "id", "left_semi")
+    elif r.namespace is not None:
+        rows = rows.where(F.col("namespace") == r.namespace)
+    near = vector.with_similarity(rows, r.vector, "sim").where("sim > 0").orderBy(F.desc("sim"), "id").limit(3 * r.fetch)
+    return {x.id: x.sim for x in near.select("id", "sim").collect()}
 
 
 def relevance(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
     """The rows found, with sim, f and relevance."""
     words = list(dict.fromkeys(text.query_terms(r.query)))
-    stats = text.statistics(memories, r.query) if words else None
-    c = candidates(memories, facts, r, t, stats)
-    near = semantic(memories, c["all"], r).where(F.col("sim") >= t.recall_sim_floor)
-    hits = near.join(c["fts"].select("id", "f"), "id", "full")
-    if c["extra"] is not None:
-        hits = hits.join(c["extra"], "id", "full")
-    else:
-        hits = hits.withColumn("x", F.lit(None).cast("double"))
-    hits = hits.join(c["linked"].withColumn("linked", F.lit(True)), "id", "full")
+    counts = text.count_terms(memories, [r.query, *r.extra_queries])
+    c = candidates(memories, facts, r, counts, t)
+    near = {i: x for i, x in semantic(memories, c, r).items() if x >= t.recall_sim_floor}
+    ids = list(dict.fromkeys([*near, *c.fts, *c.extra]))
+    found = {"sim": near, "f": c.fts, "x": c.extra}
+    hits = local(memories.sparkSession, {"id": (ids, pa.string())} | {k: ([v.get(i) for i in ids], pa.float64()) for k, v in found.items()})
+    hits = hits.join(c.linked.withColumn("linked", F.lit(True)), "id", "full")
     boost, base, slope, alone = (0.6, 0.50, 0.35, 0.4) if r.short_cjk else (0.3, 0.35, 0.25, 0.25)
     sim, f = F.col("sim"), F.col("f")
     gate = F.least(F.lit(1.0), sim / 0.45)
@@ -119,9 +127,8 @@ def relevance(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds
         said = F.exists(F.array(*map(F.lit, terms)), lambda w: F.contains(content, w))
         rel = F.when(F.col("f").isNull() & ~said, rel * t.no_keyword_penalty).otherwise(rel)
     if words:
-        n = stats["_n"]
-        known = [(w, stats[f"_df{i}"]) for i, w in enumerate(words) if not (n >= t.noise_min_docs and stats[f"_df{i}"] / n > t.noise_df_ratio)]
-        idfs = [(w, math.log(n / df)) for w, df in known if df > 0]
+        known = [(w, counts.df[w]) for w in words if not counts.is_noise(w, t)]
+        idfs = [(w, math.log(counts.n / df)) for w, df in known if df > 0]
         total = sum(i for _, i in idfs)
         whole = F.lower(F.concat_ws(" ", "content", F.array_join("tags", " ")))
         if known and total > 0:
