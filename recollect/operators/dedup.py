@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,10 +37,7 @@ def reconcile_pairs(memories: DataFrame, kept: DataFrame | None = None, since_ms
     """
     spaces = memories.where((F.col("layer") >= S.BUFFER) & F.col("embedding").isNotNull())
     facts = spaces.select("id", "layer", "created_at", "namespace")
-    names = spaces.select("namespace").distinct().where(F.col("namespace") != S.DEFAULT_NAMESPACE)
-    shared = spaces.where(F.col("namespace") == S.DEFAULT_NAMESPACE).crossJoin(F.broadcast(names.withColumnRenamed("namespace", "g"))).select("id", "embedding", "g")
-    grouped = spaces.select("id", "embedding", F.col("namespace").alias("g")).unionByName(shared)
-    near = vector.similar_pairs(grouped, low, by="g", upto=high, inclusive=True).select("a", "b", "similarity").distinct()
+    near = _in_namespaces(spaces, low, high, True)
     x, y = (facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in ("a", "b"))
     p = near.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b"))
     first = F.col("created_at_a") <= F.col("created_at_b")
@@ -61,18 +59,23 @@ def merge_pairs(memories: DataFrame, threshold: float = S.DEFAULTS.merge_sim) ->
 
     A pair of ``default`` with another namespace is in ``default``, where its merged row stays.
     """
-    rows = memories.select("id", "layer", "embedding", "namespace")
-    names = rows.select("namespace").distinct().where(F.col("namespace") != S.DEFAULT_NAMESPACE).withColumnRenamed("namespace", "_ns")
-    shared = rows.where(F.col("namespace") == S.DEFAULT_NAMESPACE).crossJoin(F.broadcast(names))
-    df = rows.withColumn("_ns", F.col("namespace")).unionByName(shared).withColumn("_g", F.concat_ws("|", "layer", "_ns"))
-    p = vector.similar_pairs(df, threshold, by="_g")
-    home = rows.where(F.col("namespace") == S.DEFAULT_NAMESPACE).select("id", F.lit(1).alias("_d"))
-    x, y = (home.select(F.col("id").alias(c), F.col("_d").alias(f"_d{c}")) for c in ("a", "b"))
-    p = p.join(x, "a", "left").join(y, "b", "left").withColumn("_ns", F.regexp_replace("g", r"^[^|]*\|", ""))
-    # Two rows of ``default`` meet in every group; their own counts.
-    p = p.where(F.col("_da").isNull() | F.col("_db").isNull() | (F.col("_ns") == S.DEFAULT_NAMESPACE))
-    namespace = F.when(F.col("_da").isNotNull() | F.col("_db").isNotNull(), S.DEFAULT_NAMESPACE).otherwise(F.col("_ns"))
-    return p.select(F.split_part("g", F.lit("|"), F.lit(1)).cast("int").alias("layer"), namespace.alias("namespace"), "a", "b", "similarity")
+    out = None
+    for layer in S.LAYER_NAMES:
+        p = _in_namespaces(memories.where(F.col("layer") == layer), threshold).withColumn("layer", F.lit(layer))
+        out = p if out is None else out.unionByName(p)
+    names = memories.select("id", "namespace")
+    p = out.join(names.select(F.col("id").alias("a"), F.col("namespace").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("namespace").alias("y")), "b")
+    home = (F.col("x") == S.DEFAULT_NAMESPACE) | (F.col("y") == S.DEFAULT_NAMESPACE)
+    return p.select("layer", F.when(home, S.DEFAULT_NAMESPACE).otherwise(F.col("x")).alias("namespace"), "a", "b", "similarity")
+
+
+def _in_namespaces(rows: DataFrame, low: float, high: float = 2.0, inclusive: bool = False) -> DataFrame:
+    """(a, b, similarity): pairs inside each namespace, and of a row of ``default`` with one of any other; no row is copied to a namespace."""
+    own = vector.similar_pairs(rows, low, by="namespace", upto=high, inclusive=inclusive).select("a", "b", "similarity")
+    at_home = F.col("namespace") == S.DEFAULT_NAMESPACE
+    least = math.nextafter(low, -1.0) if inclusive else low
+    met = vector.similar_across(rows.where(at_home), rows.where(~at_home), least).where(F.col("similarity") <= high)
+    return own.unionByName(met.select(F.least("new_id", "old_id").alias("a"), F.greatest("new_id", "old_id").alias("b"), "similarity"))
 
 
 def dedup_buffer(memories: DataFrame, threshold: float = S.DEFAULTS.triage_dedup_sim, accumulate: bool = False) -> DataFrame:
@@ -96,11 +99,11 @@ def dedup_buffer(memories: DataFrame, threshold: float = S.DEFAULTS.triage_dedup
         row = {r.id: r for r in pdf.itertuples()}
         near = {r.id: set(r.others) if r.others is not None else set() for r in pdf.itertuples()}
         ids, gone, out = sorted(row), set(), {}
-        for n, i in enumerate(ids):
+        for i in ids:
             if i in gone:
                 continue
-            for j in ids[n + 1 :]:
-                if j in gone or j not in near[i]:
+            for j in sorted(near[i]):
+                if j in gone:
                     continue
                 keep, drop = (i, j) if row[i].created_at >= row[j].created_at else (j, i)
                 base = out.get(keep) if accumulate else None

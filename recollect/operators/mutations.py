@@ -169,3 +169,13 @@ def restore(memories: DataFrame, trash: DataFrame, ids: DataFrame, now_ms: int,
 
 def purge(trash: DataFrame, namespace: str) -> DataFrame:
     return trash.where(F.col("namespace") != namespace)
+
+
+def trash_count(trash: DataFrame, namespace: str = S.DEFAULT_NAMESPACE) -> DataFrame:
+    return trash.where(F.col("namespace") == namespace).agg(F.count(F.lit(1)).alias("n"))
+
+
+def checked_update(memories: DataFrame, changes: DataFrame, now_ms: int, epoch: int, needs_tag: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`update_fields` for the rows that still have ``needs_tag``; changes of other rows come to nothing."""
+    held = memories.where(F.array_contains("tags", needs_tag)).select("id")
+    return update_fields(memories, changes.join(held, "id", "left_semi"), now_ms, epoch)

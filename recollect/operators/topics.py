@@ -308,6 +308,43 @@ def needs_rebuild(old: DataFrame, new: DataFrame, most: int = 10) -> str:
     return "insert" if not gone and come <= most else "rebuild"
 
 
+def tree_totals(nodes: DataFrame) -> DataFrame:
+    """(node_id, is_leaf, total_members, leaf_count, height) of every node; a leaf has height 0.
+
+    The tree is MAX_DEPTH + 1 levels deep at most, so as many self-joins lead each leaf to all above it.
+    """
+    parent = nodes.select(F.col("node_id").alias("n"), F.col("parent_id").alias("p"))
+    up = nodes.where("leaf").select(F.col("node_id").alias("at"), F.col("size"), F.lit(0).alias("steps"))
+    steps = up
+    for k in range(1, MAX_DEPTH + 2):
+        up = up.join(parent, F.col("at") == F.col("n")).where("p is not null").select(F.col("p").alias("at"), "size", F.lit(k).alias("steps"))
+        steps = steps.unionByName(up)
+    totals = steps.groupBy("at").agg(F.sum("size").cast("long").alias("total_members"), F.count(F.lit(1)).alias("leaf_count"), F.max("steps").alias("height"))
+    return nodes.select("node_id", F.col("leaf").alias("is_leaf")).join(totals, F.col("node_id") == F.col("at")).drop("at")
+
+
+def naming_work(members: DataFrame, named: DataFrame) -> DataFrame:
+    """One row: leaves, unnamed ones, and whether asking for names is put off: at most three unnamed of two members or fewer on average."""
+    size = members.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    marked = size.join(named.select("node_id", F.lit(True).alias("known")).distinct(), "node_id", "left")
+    new = F.col("known").isNull()
+    one = marked.agg(F.count(F.lit(1)).alias("leaves"), F.count_if(new).alias("unnamed"), F.avg(F.when(new, F.col("n"))).alias("mean"))
+    return one.select("leaves", "unnamed", ((F.col("unnamed") <= 3) & (F.coalesce("mean", F.lit(0.0)) <= 2)).alias("put_off"))
+
+
+def insert_into(nodes: DataFrame, members: DataFrame, new: DataFrame, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
+    """(node_id, memory_id) after ``new`` (id, embedding) joined the nearest leaf at or over ``topic_assign``; others get a leaf of their own.
+
+    For the few rows an incremental rebuild inserts: they meet the leaves, which the budget bounds.
+    """
+    leaves = nodes.where("leaf").select("node_id", "centroid")
+    rows = new.where(F.col("embedding").isNotNull()).select(F.col("id").alias("memory_id"), "embedding")
+    sims = rows.join(F.broadcast(leaves), F.size("embedding") == F.size("centroid")).select("memory_id", "node_id", X.cosine(F.col("embedding"), F.col("centroid")).alias("s"))
+    best = sims.groupBy("memory_id").agg(F.max(F.struct(F.col("s"), F.col("node_id"))).alias("b"))
+    placed = rows.join(best, "memory_id", "left").select(F.when(F.col("b.s") >= t.topic_assign, F.col("b.node_id")).otherwise(F.concat(F.lit("new-"), "memory_id")).alias("node_id"), "memory_id")
+    return members.unionByName(placed)
+
+
 def topic_members(members: DataFrame, memories: DataFrame, node_ids: list[str]) -> DataFrame:
     return members.where(F.col("node_id").isin(*node_ids)).join(memories, F.col("memory_id") == F.col("id")).select("node_id", *[c for c in S.META_COLS])
 

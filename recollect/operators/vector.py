@@ -115,6 +115,35 @@ def similar_pairs(df: DataFrame, threshold: float, by: str | None = None, upto:
     return dealt.groupBy("g", "lo", "hi").applyInArrow(products, "g string, a string, b string, similarity double")
 
 
+def similar_across(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
+    """(new_id, old_id, similarity): cosine over ``threshold`` between rows (id, embedding) of two tables.
+
+    Blocks of new rows meet blocks of old ones as matrix products; rows of one table are never compared with each other.
+    """
+    sides = []
+    for side, df in enumerate((new, old)):
+        rows = df.where(F.col("embedding").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("n"), F.lit(side).alias("side"))
+        sides.append((rows, rows.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(f"b{side}"))))
+    (x, bx), (y, by) = sides
+    grid = bx.join(by, "n")
+    other = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    p = x.join(grid, "n").select("n", F.pmod(F.xxhash64("id"), F.col("b0")).alias("p"), other("b1").alias("q"), "side", "id", "v")
+    q = y.join(grid, "n").select("n", other("b0").alias("p"), F.pmod(F.xxhash64("id"), F.col("b1")).alias("q"), "side", "id", "v")
+
+    def products(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
+        ids = np.array(table.column("id").to_pylist(), object)
+        norms = np.linalg.norm(v, axis=1)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        product = norms[one][:, None] * norms[two][None, :]
+        s = np.where(product >= 1e-12, (v[one] @ v[two].T) / np.maximum(product, 1e-12), 0.0)
+        i, j = np.nonzero(s > threshold)
+        return pa.table({"new_id": pa.array(ids[one[i]], pa.string()), "old_id": pa.array(ids[two[j]], pa.string()), "similarity": pa.array(s[i, j])})
+
+    return p.unionByName(q).groupBy("n", "p", "q").applyInArrow(products, "new_id string, old_id string, similarity double")
+
+
 def lsh_neighbours(memories: DataFrame, query: list[float], k: int, tables: int = 8, length: float = 0.5, seed: int = 7) -> DataFrame:
     """Approximate: candidates by bucketed random projections of unit vectors, then the exact cosine."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

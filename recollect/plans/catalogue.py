@@ -34,7 +34,7 @@ RECENCY = f"exp(-decay_rate * greatest(0, ({NOW_MS} - last_accessed) / {float(S.
 DECAYED = f"importance * exp(-decay_rate * (({NOW_MS} - last_accessed) / {float(S.HOUR_MS)}) / 168.0)"
 TOKENS = "greatest(1, CAST(ceil(strlen(content) / 4.0) AS BIGINT))"
 FACTS = f"""
-facts AS (SELECT 'c' || c_custkey AS id, c_name AS subject, 'in_nation' AS predicate, n_name AS object, CAST(c_custkey AS VARCHAR) AS memory_id, {BASE_MS} + c_custkey AS created_at FROM customer JOIN nation ON c_nationkey = n_nationkey
+facts AS (SELECT 'c' || c_custkey AS id, c_name AS subject, 'in_nation' AS predicate, n_name AS object, CAST(c_custkey * 2 AS VARCHAR) AS memory_id, {BASE_MS} + c_custkey AS created_at FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT 'n' || n_nationkey, n_name, 'in_region', r_name, '0', {BASE_MS} + n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 ORDER_FACTS = "ofacts AS (SELECT 'o' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, c_name AS subject, o_orderpriority AS object, epoch_us(o_orderdate) // 1000 AS created_at FROM orders JOIN customer ON o_custkey = c_custkey)"
 USAGE = "usage AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS ts, event_type AS component, 'm' || (user_id % 5) AS model, CAST(floor(value) AS BIGINT) AS input_tokens, CAST(props->>'$.k' AS BIGINT) AS output_tokens, CAST(floor(value * 10) AS BIGINT) AS duration_ms FROM events)"
@@ -150,14 +150,6 @@ def _(s, d):
 
 
 @register("memories_without_facts", f"SELECT {META_SQL} FROM memories m WHERE layer >= 2 AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.memory_id = m.id)", MEM, FACTS)
-def _(s, d):
-    return scans.memories_without_facts(mem(s, d), A.facts(s, d).where("cast(memory_id as int) % 2 = 0")).select(*META)
-
-
-ORACLE["memories_without_facts"] = ORACLE["memories_without_facts"].replace("f.memory_id = m.id", "f.memory_id = m.id AND CAST(f.memory_id AS INTEGER) % 2 = 0")
-
-
-@register("memories_without_any_fact", f"SELECT {META_SQL} FROM memories m WHERE layer >= 2 AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.memory_id = m.id)", MEM, FACTS)
 def _(s, d):
     return scans.memories_without_facts(mem(s, d), A.facts(s, d)).select(*META)
 
@@ -206,10 +198,12 @@ def _(s, d):
     return mem(s, d).select("id", noise.is_code_noise(F.concat("content", tail)).alias("noise"))
 
 
-@register("numbered_facts", "SELECT conv_id, CAST(regexp_extract(l, '^(\\d+)\\. ', 1) AS INTEGER) AS no, regexp_extract(l, '^\\d+\\. (.+)$', 1) AS fact FROM (SELECT conv_id, unnest(string_split('1. ' || role || chr(10) || '2. turn ' || turn || chr(10) || 'no number', chr(10))) AS l FROM conversations) WHERE regexp_matches(l, '^\\d+\\. .+$')")
+@register("numbered_facts", "SELECT conv_id, turn, CAST(i AS INTEGER) AS no, l[i] AS fact FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)) WHERE trim(l[i]) <> ''")
 def _(s, d):
-    c = A.table(s, d, "conversations").select("conv_id", F.concat(F.lit("1. "), "role", F.lit("\n2. turn "), F.col("turn").cast("string"), F.lit("\nno number")).alias("text"))
-    return T.numbered_facts(c).select("conv_id", "no", "fact")
+    # Every line of every message, numbered; lines without a fact are no facts.
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    c = A.table(s, d, "conversations").select("conv_id", "turn", F.array_join(lines, "\n").alias("text"))
+    return T.numbered_facts(c).select("conv_id", "turn", "no", "fact")
 
 
 # Full text
@@ -367,17 +361,6 @@ def _(s, d):
 
 @register(
     "facts_multihop",
-    "SELECT subject AS entity, 1 AS depth, object AS last FROM facts WHERE id LIKE 'c1%' UNION ALL SELECT f.subject, 2, g.object FROM facts f JOIN facts g ON lower(g.subject) = lower(f.object) WHERE f.id LIKE 'c1%'",
-    FACTS,
-)
-def _(s, d):
-    f = A.facts(s, d)
-    start = f.where("id like 'c1%'").select(F.col("subject").alias("entity"))
-    return G.multihop(f, start, 2).select("entity", "depth", F.element_at("path", -1)["object"].alias("last"))
-
-
-@register(
-    "facts_multihop_all",
     "SELECT subject AS entity, 1 AS depth, object AS last FROM facts UNION ALL SELECT f.subject, 2, g.object FROM facts f JOIN facts g ON lower(g.subject) = lower(f.object)",
     FACTS,
 )
@@ -543,31 +526,34 @@ def _(s, d):
     return done.where(F.array_contains("tags", "lesson")).select("id", "access_count", r6(F.col("importance"), "importance"))
 
 
-@register("promote_rows", "SELECT id, CASE WHEN layer < 3 AND kind <> 'episodic' THEN 3 ELSE layer END AS layer, CAST(CASE WHEN layer < 3 AND kind <> 'episodic' THEN 0.05 ELSE decay_rate END AS DOUBLE) AS decay_rate FROM memories WHERE n % 2 = 0", MEM)
-def _(s, d):
-    m = mem(s, d).where("cast(id as long) % 2 = 0")
-    return mutations.promote(m, m.select("id"), 3, NOW_MS, EPOCH).select("id", "layer", "decay_rate")
-
-
-@register("promote_core_rows", f"SELECT id, CASE WHEN {CORE_OK} THEN 3 ELSE layer END AS layer, CAST(CASE WHEN {CORE_OK} THEN 0.05 ELSE decay_rate END AS DOUBLE) AS decay_rate FROM memories", MEM)
+@register("promote_rows", f"SELECT id, CASE WHEN {CORE_OK} THEN 3 ELSE layer END AS layer, CAST(CASE WHEN {CORE_OK} THEN 0.05 ELSE decay_rate END AS DOUBLE) AS decay_rate FROM memories", MEM)
 def _(s, d):
     m = mem(s, d)
     return mutations.promote(m, lifecycle.core_candidates(m, NOW_MS).select("id"), 3, NOW_MS, EPOCH).select("id", "layer", "decay_rate")
 
 
-@register("soft_delete_cascade", "SELECT 'memory' AS kind, id FROM memories WHERE n % 3 <> 0 UNION ALL SELECT 'trash', id FROM memories WHERE n % 3 = 0 UNION ALL SELECT 'fact', id FROM facts WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.n % 3 = 0 AND m.id = facts.memory_id)", MEM, FACTS)
+GONE = f"(layer < 3 AND {DECAYED} < 0.01)"
+
+
+@register("soft_delete_cascade", f"SELECT 'memory' AS kind, id FROM memories WHERE NOT {GONE} UNION ALL SELECT 'trash', id FROM memories WHERE {GONE} UNION ALL SELECT 'fact', id FROM facts WHERE memory_id NOT IN (SELECT id FROM memories WHERE {GONE})", MEM, FACTS)
 def _(s, d):
     m = mem(s, d)
-    kept, left, trash = mutations.soft_delete(m, A.facts(s, d), empty(s, S.TRASH_DDL), m.where("cast(id as long) % 3 = 0").select("id"), NOW_MS)
+    kept, left, trash = mutations.soft_delete(m, A.facts(s, d), empty(s, S.TRASH_DDL), lifecycle.decayed(m, NOW_MS).select("id"), NOW_MS)
     named = lambda df, k: df.select(F.lit(k).alias("kind"), "id")
     return named(kept, "memory").unionByName(named(trash, "trash")).unionByName(named(left, "fact"))
 
 
-@register("trash_restore", "SELECT id, layer, 0::BIGINT AS access_count, 1.0::DOUBLE AS decay_rate FROM memories WHERE n % 3 = 0 AND namespace = 'en' AND n % 2 = 0", MEM)
-def _(s, d):
+def thrown(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(memories, trash) after all decayed memories went."""
     m = mem(s, d)
-    kept, _, trash = mutations.soft_delete(m, A.facts(s, d), empty(s, S.TRASH_DDL), m.where("cast(id as long) % 3 = 0").select("id"), NOW_MS)
-    back, _ = mutations.restore(kept.where("false"), trash, m.where("cast(id as long) % 2 = 0").select("id"), NOW_MS, "en")
+    kept, _, trash = mutations.soft_delete(m, A.facts(s, d), empty(s, S.TRASH_DDL), lifecycle.decayed(m, NOW_MS).select("id"), NOW_MS)
+    return kept, trash
+
+
+@register("trash_restore", f"SELECT id, layer, 0::BIGINT AS access_count, 1.0::DOUBLE AS decay_rate FROM memories WHERE {GONE} AND namespace = 'en'", MEM)
+def _(s, d):
+    kept, trash = thrown(s, d)
+    back, _ = mutations.restore(kept.where("false"), trash, trash.select("id"), NOW_MS, "en")
     return back.select("id", "layer", "access_count", "decay_rate")
 
 
@@ -576,13 +562,12 @@ def _(s, d):
     return T.export_rows(mem(s, d)).select("id", "content", "created_at")
 
 
-@register("import_conflicts", "SELECT namespace, count(*) AS n, count(*) FILTER (n % 5 = 0) AS new_ids FROM (SELECT n, CASE WHEN n % 5 = 0 THEN 'other' ELSE namespace END AS namespace FROM memories WHERE n % 2 = 0 OR n % 5 = 0) WHERE NOT (n % 5 <> 0 AND n % 4 <> 0) GROUP BY 1", MEM)
+@register("import_conflicts", "SELECT ns AS namespace, count(*) AS n, count(*) FILTER (layer >= 2) AS new_ids FROM (SELECT *, CASE WHEN kind = 'procedural' THEN 'other' ELSE namespace END AS ns FROM memories) WHERE NOT (layer >= 2 AND ns = namespace) GROUP BY 1", MEM)
 def _(s, d):
+    # Working and Core are there; everything comes in, procedural rows to another namespace.
     m = mem(s, d)
-    n = F.col("id").cast("long")
-    existing = m.where((n % 5 == 0) | (n % 4 != 0))
-    incoming = m.where((n % 2 == 0) | (n % 5 == 0)).withColumn("old", F.col("id")).withColumn("namespace", F.when(n % 5 == 0, "other").otherwise(F.col("namespace")))
-    return T.import_rows(existing, incoming).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") != F.col("old")).alias("new_ids"))
+    incoming = m.withColumn("old", F.col("id")).withColumn("namespace", F.when(F.col("kind") == "procedural", "other").otherwise(F.col("namespace")))
+    return T.import_rows(m.where("layer >= 2"), incoming).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") != F.col("old")).alias("new_ids"))
 
 
 # Usage and conversations

@@ -41,10 +41,9 @@ def extract(texts: DataFrame, extractor: Extractor = statements, id_col: str = "
 
 def semantic_hits(memories: DataFrame, new: DataFrame, threshold: float = S.DEFAULTS.insert_dedup_sim) -> DataFrame:
     """(new_id, old_id, similarity): the nearest memory of any namespace for each new row with a vector, over the threshold."""
-    both = memories.select(F.concat(F.lit("o:"), "id").alias("id"), "embedding").unionByName(new.select(F.concat(F.lit("p:"), "id").alias("id"), "embedding"))
-    pairs = vector.similar_pairs(both, threshold).where(F.col("a").startswith("o:") & F.col("b").startswith("p:"))
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("similarity"), "a"))).where("_r = 1")
-    return ranked.select(F.substring("b", 3, 1 << 20).alias("new_id"), F.substring("a", 3, 1 << 20).alias("old_id"), "similarity")
+    pairs = vector.similar_across(new, memories, threshold)
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("similarity"), "old_id"))).where("_r = 1")
+    return ranked.drop("_r")
 
 
 def remember(memories: DataFrame, inputs: DataFrame, now_ms: int, epoch: int, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
@@ -113,7 +112,9 @@ def distil_topics(state: State, nodes: DataFrame, members: DataFrame, summarise:
 
 
 def report(memories: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row: memories, vectors, namespaces, active and superseded facts."""
-    a = memories.agg(F.count(F.lit(1)).alias("memories"), F.count("embedding").alias("vectors"), F.count_distinct("namespace").alias("namespaces"))
+    """One row: memories by layer and kind, vectors, namespaces, active and superseded facts."""
+    layers = [F.count_if(F.col("layer") == k).alias(name) for k, name in S.LAYER_NAMES.items()]
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in S.KINDS]
+    a = memories.agg(F.count(F.lit(1)).alias("memories"), *layers, *kinds, F.count("embedding").alias("vectors"), F.count_distinct("namespace").alias("namespaces"))
     b = facts.agg(F.count_if(F.col("valid_until").isNull()).alias("active_facts"), F.count("valid_until").alias("superseded_facts"))
     return a.crossJoin(b)

@@ -175,9 +175,14 @@ def recall(memories: DataFrame, facts: DataFrame, r: Request, now_ms: int, t: S.
     return budget_prefix(rows, ordering(r.sort_by), r.budget, r.page, r.offset).drop("sim", "f", "x", "linked", "embedding")
 
 
-def touched(page: DataFrame) -> DataFrame:
+def touched(page: DataFrame, least: float = 0.5) -> DataFrame:
     """Ids whose counters a recall that is not dry would raise."""
-    return page.where("relevance > 0.5").select("id")
+    return page.where(F.col("relevance") > least).select("id")
+
+
+def projection(page: DataFrame) -> DataFrame:
+    """What a client gets of a page: short id, content, score, layer name, tags, kind."""
+    return page.select(X.short_id(F.col("id")).alias("id"), "content", "score", X.layer_label(F.col("layer")).alias("layer"), "tags", "kind")
 
 
 def breakdown(page: DataFrame) -> DataFrame:

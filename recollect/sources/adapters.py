@@ -45,11 +45,11 @@ def memories(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFram
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FACT_DDL rows: where customers and nations lie. memory_id: the memory with the customer's number."""
+    """FACT_DDL rows: where customers and nations lie. memory_id: the memory with twice the customer's number, so some memories have no fact."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     # Nations and regions are fixed lists of 25 and 5 rows.
     at = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    one = at.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("subject"), F.lit("in_nation").alias("predicate"), F.col("n_name").alias("object"), F.col("c_custkey").cast("string").alias("memory_id"), (F.lit(BASE_MS) + F.col("c_custkey")).alias("created_at"))
+    one = at.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("subject"), F.lit("in_nation").alias("predicate"), F.col("n_name").alias("object"), (F.col("c_custkey") * 2).cast("string").alias("memory_id"), (F.lit(BASE_MS) + F.col("c_custkey")).alias("created_at"))
     two = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("subject"), F.lit("in_region").alias("predicate"), F.col("r_name").alias("object"), F.lit("0").alias("memory_id"), (F.lit(BASE_MS) + F.col("n_nationkey")).cast("long").alias("created_at"))
     every = one.unionByName(two)
     return every.select("id", "subject", "predicate", "object", "memory_id", F.lit("default").alias("namespace"), "created_at", F.lit(None).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_until"), F.lit(None).cast("string").alias("superseded_by"))

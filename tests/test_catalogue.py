@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import SMALL, same_rows
-from recollect.plans import catalogue
+from recollect.plans import catalogue_state as catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
@@ -22,17 +22,17 @@ def test_odd_ids_and_all_facts_count(spark):
     from recollect.sources import adapters
 
     m = {r.id: r.layer for r in adapters.memories(spark, SMALL, False).collect()}
-    up = {r.id: r.layer for r in catalogue.QUERIES["promote_core_rows"](spark, SMALL).collect()}
+    up = {r.id: r.layer for r in catalogue.QUERIES["promote_rows"](spark, SMALL).collect()}
     assert set(up) == set(m) and {int(i) % 2 for i in up if up[i] != m[i]} == {0, 1}
     named = {r.memory_id for r in adapters.facts(spark, SMALL).collect()}
-    assert {r.id for r in catalogue.QUERIES["memories_without_any_fact"](spark, SMALL).collect()} == {i for i in m if m[i] >= 2 and i not in named}
+    assert {r.id for r in catalogue.QUERIES["memories_without_facts"](spark, SMALL).collect()} == {i for i in m if m[i] >= 2 and i not in named}
 
 
 def test_chains_start_from_every_subject(spark):
     from recollect.sources import adapters
 
     every = {r.subject for r in adapters.facts(spark, SMALL).collect()}
-    assert {r.entity for r in catalogue.QUERIES["facts_multihop_all"](spark, SMALL).collect()} == every
+    assert {r.entity for r in catalogue.QUERIES["facts_multihop"](spark, SMALL).collect()} == every
 
 
 def test_entry(spark):
