@@ -6,7 +6,7 @@ probes an index of (length, segment number, segment) with the few substrings tha
 
 A line goes if any earlier one is near, so one witness a line is enough and pairs are never laid
 out. In a bucket of the index all lines meet two of those filed there. Buckets with more go on in
-rounds: lines without a witness yet meet samples of the bucket's lines that grow eightfold, up to the
+rounds: lines without a witness yet meet samples of the bucket's lines that grow sixteenfold, up to the
 whole bucket, and leave as soon as they have one. Candidates pass a letter-count bound and then a
 banded, bit-parallel edit distance folded by ``aggregate``. Only DataFrame functions.
 
@@ -31,7 +31,7 @@ LETTERS = "etaoinshrdlcumw"
 HOT_TIMES = 1000
 HOT_BYTES = 48
 #: Lines of a crowded bucket that the others meet in the first round, and the growth from round to round.
-FIRST_SAMPLE, GROWTH = 8, 8
+FIRST_SAMPLE, GROWTH = 16, 16
 
 
 def _segments(length: str, parts: int):
