@@ -99,7 +99,7 @@ WORDS = r"ws AS (SELECT id, namespace, layer, embedding, list_distinct(list_filt
 
 @register(
     "insert_duplicates",
-    f"SELECT new_id, old_id, round(j, 6) AS jaccard FROM (SELECT c.*, CASE WHEN x.embedding IS NOT NULL AND y.embedding IS NOT NULL THEN {COS.replace('embedding', 'x.embedding').replace('q)', 'y.embedding)').replace(', q', ', y.embedding')} END AS cos FROM (SELECT a.id AS new_id, b.id AS old_id, count(*) / (a.n + b.n - count(*)) AS j FROM ex a JOIN ex b ON a.namespace = b.namespace AND a.t = b.t WHERE a.layer = 1 AND b.layer > 1 GROUP BY a.id, b.id, a.n, b.n) c JOIN memories x ON x.id = new_id JOIN memories y ON y.id = old_id) WHERE j > 0.5 AND CASE WHEN cos IS NULL THEN j > 0.8 ELSE cos > 0.2 END",
+    f"SELECT new_id, old_id, round(j, 6) AS jaccard FROM (SELECT c.*, CASE WHEN x.embedding IS NOT NULL AND y.embedding IS NOT NULL THEN list_dot_product(x.embedding, y.embedding) / (sqrt(list_dot_product(x.embedding, x.embedding)) * sqrt(list_dot_product(y.embedding, y.embedding))) END AS cos FROM (SELECT a.id AS new_id, b.id AS old_id, count(*) / (a.n + b.n - count(*)) AS j FROM ex a JOIN ex b ON a.namespace = b.namespace AND a.t = b.t WHERE a.layer = 1 AND b.layer > 1 GROUP BY a.id, b.id, a.n, b.n) c JOIN memories x ON x.id = new_id JOIN memories y ON y.id = old_id) WHERE j > 0.5 AND CASE WHEN cos IS NULL THEN j > 0.8 ELSE cos > 0.2 END",
     MEM,
     WORDS,
 )
