@@ -25,6 +25,8 @@ LANDMARKS_PER_LANGUAGE = 32
 LANDMARKS = 1 << 10
 #: Rows in excess drawn to the sample before it is cut to size, so that no task ranks a whole language.
 EXCESS = 4
+#: Counts of languages, by the sizes of their rows, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 RIDGE = 1e-3
 SHARPNESS = 4.0
 #: Numbers of the presence matrix of a batch.
@@ -136,14 +138,16 @@ def _predictor(model):
 def training_sample(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
     """(id, lang, text, n): at most ``per_language`` rows of each language by the hash of the id, numbered from 1 in that order.
 
-    Only hashes under a threshold, which leaves EXCESS times as many as are wanted, are ranked.
+    Only hashes under a threshold, which leaves EXCESS times as many as are wanted, are ranked; the
+    threshold comes to the texts, so that no others move.
     """
     known = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     every = F.count(F.lit(1)).over(Window.partitionBy())
     counts = cut(counts.withColumn("most", F.greatest(F.lit(1), F.least(F.lit(per_language), F.lit(float(SAMPLE_ROWS)) / every)).cast("long")))
     chance = F.shiftrightunsigned(F.xxhash64("id"), 12) / F.lit(float(1 << 52))
-    drawn = known.join(counts, "lang").where((chance * F.col("rows") < EXCESS * F.col("most")) & F.col("text").rlike(r"\p{L}"))
+    few = (counts.agg(F.sum(F.octet_length("lang") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    drawn = known.join(F.broadcast(counts) if few else counts, "lang").where((chance * F.col("rows") < EXCESS * F.col("most")) & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
     return drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("most")).select("id", "lang", "text", "n")
 

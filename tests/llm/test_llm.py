@@ -157,7 +157,9 @@ def test_language_like_kernels_of_sets(spark, docs):
         assert got[i].lang_pred == names[own.argmax()] and got[i].score == pytest.approx(own.max(), abs=2e-3)
 
 
-def test_sample_is_bounded(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [8 << 20, 0])
+def test_sample_is_bounded(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(language_id, "BROADCAST_BYTES", broadcast)
     df = spark.createDataFrame([(i, f"text {i}", f"l{i % 7}" if i % 2 else "hot") for i in range(3000)], "doc_id long, text string, lang string")
     n = {r.lang: r["count"] for r in language_id.training_sample(df, "doc_id", "text", "lang", 40).groupBy("lang").count().collect()}
     assert n == {"hot": 40} | {f"l{i}": 40 for i in range(7)}
