@@ -97,3 +97,11 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
         total *= U64(0xC2B2AE3D27D4EB4F)
         total += hashes[j : j + n]
     return mix(total)
+
+
+def edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block, and which of its bytes belong to words."""
+    solid = np.zeros(len(data) + 2, bool)
+    solid[1:-1] = (data != 32) & ((data - np.uint8(9)) > 4)
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    return turns[0::2], turns[1::2], solid[1:-1]

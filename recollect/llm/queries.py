@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, pieces, quality, span_dedup, url_filter
+from recollect.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, periodic_runs
+from recollect.llm import pieces, quality, span_dedup, url_filter
 from recollect.llm._session import table
 
 URL_RULES = [
@@ -71,8 +72,37 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pieces, op4_line_dedup, op5_neighbours, op6_mixing, op7_url_filter, op8_quality, op9_span_dedup, op10_exact_dedup)}
-
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """Documents whose id has a crc32 divisible by 10 go on periodically from a word on; null ids have no crc32."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(mixing.WORD), F.lit(0))
+    rows = docs.select("doc_id", "text", (h % 10 == 0).alias("_some"), F.expr("crc32(cast(doc_id as string)) div 10").alias("_g"))
+    rows = rows.withColumn("_words", F.when(F.col("_some"), words)).withColumn("_n", F.size("_words"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get("_words", place(i).cast("int")))
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_period(table(spark, sf_dir, "documents")))
+    order = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.withColumn("top", F.get(order, F.lit(0))).withColumn("length", -F.col("top.less"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), "length", F.col("top.period").alias("period"),
+        F.expr("1000 * length div top.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pieces, op4_line_dedup, op5_neighbours, op6_mixing, op7_url_filter, op8_quality, op9_span_dedup, op10_exact_dedup, op11_periodic_runs)}
+
+#: Unsigned crc32 of an ASCII string: its bytes one after the other, each by eight shifts.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda r, c: list_reduce(list_prepend(xor(r, c), list_resize(CAST([] AS BIGINT[]), 8, 0)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -112,4 +142,20 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY h)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, n.h AS text_sha256 FROM n JOIN g ON g.h = n.h""",
+    "op11_periodic_runs": rf"""
+WITH h AS MATERIALIZED (SELECT doc_id, {_CRC.format("CAST(doc_id AS VARCHAR)")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w FROM a),
+-- A run of period p and 4 * p words has a multiple of p in its first p words, and there three periods are equal.
+p AS (SELECT doc_id, w, n, unnest(range(1, n // 4 + 1)) AS p FROM d WHERE n >= 4),
+i AS (SELECT doc_id, w, n, p, unnest(range(0, n - p, p)) AS i FROM p),
+c AS (SELECT * FROM i WHERE w[i + 1] = w[i + p + 1] AND w[i + 2] IS NOT DISTINCT FROM w[i + p + 2] AND w[i + 1 : i + 2 * p] = w[i + p + 1 : i + 3 * p]),
+e AS (SELECT doc_id, p, coalesce(list_max(list_filter(range(i), lambda k: w[k + 1] <> w[k + p + 1])) + 1, 0) AS s,
+  p + coalesce(list_min(list_filter(range(i, n - p), lambda k: w[k + 1] <> w[k + p + 1])), n - p) AS e FROM c),
+r AS (SELECT doc_id, s, e - s AS l, min(p) AS p FROM e WHERE e - s >= greatest(6, 4 * p) GROUP BY ALL),
+x AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(s + p, s + l)) AS k FROM r) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_runs, first({{'s': s, 'l': l, 'p': p}} ORDER BY l DESC, s, p) AS t, string_agg(concat(s, ',', l, ',', p, chr(10)), '' ORDER BY s, p) AS lines FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, t.s AS start, t.l AS length, t.p AS period, 1000 * t.l // t.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda k: NOT list_contains(gone, k)), lambda k: w[k + 1]) END, ' '), '')) AS collapsed_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id""",
 }
