@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, periodic_runs
-from recollect.llm import pieces, quality, span_dedup, url_filter
+from recollect.llm import pieces, quality, span_dedup, spelling, url_filter
 from recollect.llm._session import table
 
 URL_RULES = [
@@ -98,7 +98,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pieces, op4_line_dedup, op5_neighbours, op6_mixing, op7_url_filter, op8_quality, op9_span_dedup, op10_exact_dedup, op11_periodic_runs)}
+def with_planted_typos(runs: DataFrame) -> DataFrame:
+    """Words of which those with a crc32 of id and word divisible by 199 lack a letter; null ids have no crc32."""
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("word")))
+    at = F.when(F.col("doc_id").isNotNull() & (F.col("h") % 199 == 0), (F.col("h") % F.length("word")).cast("int"))
+    short = F.concat(F.substr("word", F.lit(1), F.col("at")), F.substr("word", F.col("at") + 2))
+    return runs.withColumn("h", h).withColumn("at", at).select("doc_id", F.coalesce(short, "word").alias("word"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = with_planted_typos(spelling.letter_runs(table(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.lexicon(runs))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pieces, op4_line_dedup, op5_neighbours, op6_mixing, op7_url_filter, op8_quality, op9_span_dedup, op10_exact_dedup, op11_periodic_runs, op13_spelling_variants)}
 
 #: Unsigned crc32 of an ASCII string: its bytes one after the other, each by eight shifts.
 _CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
@@ -158,4 +171,19 @@ g AS (SELECT doc_id, count(*) AS n_runs, first({{'s': s, 'l': l, 'p': p}} ORDER
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, t.s AS start, t.l AS length, t.p AS period, 1000 * t.l // t.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
   sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda k: NOT list_contains(gone, k)), lambda k: w[k + 1]) END, ' '), '')) AS collapsed_sha256
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, list_resize(CAST([] AS BIGINT[]), 8, 0)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+o AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}'))")} AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS c, hex(encode(doc_id || ':' || w)) AS x FROM o GROUP BY doc_id, w),
+h AS (SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+  lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1]))) AS h FROM u, t),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 199 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+k AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v),
+g AS MATERIALIZED (SELECT word, n, word[1 : k - 1] || '*' || word[k + 1 :] AS g, word[1 : k - 1] || word[k + 1 :] AS d FROM k),
+p AS (SELECT a.word, b.word AS x, b.n FROM g a JOIN g b ON a.g = b.g AND a.word <> b.word
+  UNION SELECT v.word, g.word, g.n FROM v JOIN g ON g.d = v.word UNION SELECT g.word, v.word, v.n FROM v JOIN g ON g.d = v.word),
+b AS (SELECT word, count(*) AS n_near, first({{'x': x, 'n': n}} ORDER BY n DESC, x) AS b FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * v.n THEN b.x END AS form, CASE WHEN b.n >= 5 * v.n THEN b.n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+r AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, step) AS root, n, n_near, form_n FROM f JOIN r ON r.word = f.word GROUP BY f.word, form, n, n_near, form_n""",
 }
