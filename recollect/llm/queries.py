@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, neighbours, periodic_runs
-from recollect.llm import pieces, quality, span_dedup, spelling, url_filter
+from recollect.llm import pieces, pii, quality, span_dedup, spelling, url_filter
 from recollect.llm._session import table
 
 URL_RULES = [
@@ -98,6 +98,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base_sha256 are of the patterns' spans, spans also has what the tagger adds."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = found.withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def with_planted_typos(runs: DataFrame) -> DataFrame:
     """Words of which those with a crc32 of id and word divisible by 199 lack a letter; null ids have no crc32."""
     h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("word")))
@@ -111,7 +120,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.lexicon(runs))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pieces, op4_line_dedup, op5_neighbours, op6_mixing, op7_url_filter, op8_quality, op9_span_dedup, op10_exact_dedup, op11_periodic_runs, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_pieces, op4_line_dedup, op5_neighbours, op6_mixing, op7_url_filter, op8_quality, op9_span_dedup, op10_exact_dedup, op11_periodic_runs, op12_pii, op13_spelling_variants)}
 
 #: Unsigned crc32 of an ASCII string: its bytes one after the other, each by eight shifts.
 _CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
