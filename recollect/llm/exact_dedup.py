@@ -30,16 +30,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id stays. ``text_sha256`` is null where refinement ended before the full hash,
     unless ``digest_all`` asks for it on every row.
 
-    Null text equals empty text. A null id never stays if its group has another id; rows
-    that repeat an id and text all have kept = true for the id that stays, for nothing tells
-    them apart. An empty table gives no rows; further columns of ``docs`` are ignored.
+    Null text equals empty text. A null id never stays if its group has another id; in a group of null ids only, ``keep_id``
+    is null and one row stays, which of these equal ones is left open. Rows that repeat an id and text all have kept = true for the
+    id that stays, for nothing tells them apart. An empty table gives no rows; further columns of ``docs`` are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     head, full = F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head"), F.sha2(F.col("body").cast("binary"), 256)
     size = F.octet_length("body").alias("size")
+    # Null ids are told apart by a number of the row, which a checkpoint fixes.
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row")
     if digest_all:
         # Every row is to have its hash, so one pass makes all three; the refinement works on them alone.
-        rows = cut(rows.select("doc_id", size, head, full.alias("full")))
+        rows = cut(rows.select("doc_id", size, head, full.alias("full"), row))
     else:
         rows = rows.select("doc_id", "body", size, head)
 
@@ -48,13 +50,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = _bounded(cut(heads.where("count > 1").select("size", "head", F.lit(True).alias("more"))))
     marked = rows.join(heads, ["size", "head"], "left")
     if not digest_all:
-        marked = cut(marked.select("doc_id", "more", F.when(F.col("more"), full).alias("full")))
+        marked = cut(marked.select("doc_id", "more", F.when(F.col("more"), full).alias("full"), row))
 
-    groups = marked.where("more").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = marked.where("more").groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.min("row").alias("keep_row"), F.count(F.lit(1)).alias("group_size"))
     groups = _bounded(cut(groups.where("group_size > 1").withColumnRenamed("full", "key")), 8)
     joined = marked.join(groups, F.col("more") & (F.col("full") == F.col("key")), "left")
     keep = F.coalesce("keep_id", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == keep, F.col("group_size").isNull())
+    only_null = F.col("keep_id").isNull() & (F.col("row") == F.col("keep_row"))
+    kept = F.coalesce(F.col("doc_id") == keep, F.col("group_size").isNull() | only_null)
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), F.col("full").alias("text_sha256"))
 
 

@@ -562,6 +562,16 @@ def test_exact_odd_rows(spark, odd):
     assert exact_dedup.exact_dedup(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("every", [True, False])
+def test_exact_null_ids(spark, every):
+    """Of null ids alone one row stays; beside an id none does."""
+    rows = [(None, "same text"), (None, "same  text"), (None, "same\ttext"), (None, "other"), (7, "third"), (None, "third"), (None, "third"), (None, None), (None, "")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), digest_all=every).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == sorted(
+        [(0, 0, 3, True), (0, 0, 3, False), (0, 0, 3, False), (0, 0, 1, True), (7, 7, 3, True), (0, 7, 3, False), (0, 7, 3, False), (0, 0, 2, True), (0, 0, 2, False)]
+    )
+
+
 # Pipeline
 
 
