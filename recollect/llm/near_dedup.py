@@ -86,7 +86,8 @@ def _sketcher(width: int, n_chunks: int):
                         signature[some, k] = (mix(np.minimum.reduceat(v, at)) & U64((1 << SYMBOL_BITS) - 1)).astype(np.uint16)
                 sets = pa.array([sums[:, r].tobytes() for r in range(hi - lo)], pa.binary())
                 packed = pa.FixedSizeListArray.from_arrays(pa.array(signature.reshape(-1).astype(np.int32)), symbols).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), sets, packed], ["doc_id", "n_shingles", "set_key", "signature"])
+                passed = [batch.column(k).slice(lo, hi - lo) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(counts), sets, packed], ["doc_id", "text_key", "n_shingles", "set_key", "signature"])
 
     return sketch
 
@@ -99,7 +100,7 @@ def _set_builder(width: int):
                 values, counts = _sets(block, begins, hasher, width)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["rep", "shingles"])
 
     return build
 
@@ -168,7 +169,7 @@ def _rest_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of = groups.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     top = of.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
     top = top.select("grp", "largest", F.ceil((F.col("all") - F.col("most")) / REST).alias("rests"), F.ceil(F.col("all") / ALL).alias("alls"))
-    m = groups.join(top, "grp").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    m = groups.join(top, "grp").join(sets, "rep")
     draw = F.xxhash64("rep")
     every = m.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("r"), F.pmod(draw, F.col("alls")).alias("a"), F.lit(1).alias("side"), "rep", "component", "shingles")
     rest = m.where("component <> largest").select("grp", F.pmod(draw, F.col("rests")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("a"), F.lit(0).alias("side"), "rep", "component", "shingles")
@@ -184,15 +185,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     No words or null text: an empty set, linked with nothing. Rows with a null id are components of
     their own, with a null component, and kept. Ids are integers that name documents: rows that
-    repeat an id and text are one document; of an id with several texts, one text confirms its links.
-    Further columns are ignored.
+    repeat an id and text are one document. Of an id with several texts each has its own links and component; in any order of
+    the rows, a text that is linked with none has its id as component and is kept. Further columns are ignored.
     """
     small_batches(docs.sparkSession)
     n_chunks = chunks(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = cut(rows.mapInArrow(_sketcher(width, n_chunks), "doc_id bigint, n_shingles bigint, set_key binary, signature array<int>"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    drawn = rows.mapInArrow(_sketcher(width, n_chunks), "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, signature array<int>")
+    drawn = cut(drawn.withColumn("row", F.monotonically_increasing_id()))
     some = drawn.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")))
+    # A class is named by the number of its first row, as an id can stand at several texts.
+    first = F.min(F.struct("doc_id", "row", "text_key")).alias("f")
+    classes = some.groupBy("set_key").agg(first, F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    classes = cut(classes.select("set_key", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), "signature", "n"))
 
     # Sets of under percent / (100 - percent) shingles have no other set within the threshold.
     keyed = classes.where(f"n * {100 - percent} >= {percent}").select("rep", F.explode(_keys(F.col("signature"), n_chunks)).alias("key"))
@@ -205,9 +210,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = cut(near.join(s, "src").join(t, "dst").where(_alike(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"), percent, n_chunks)).select("src", "dst"))
 
     # Shingle sets of those that share a bucket, from one more pass over the texts.
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_builder(width), "doc_id bigint, shingles array<bigint>"))
-    both = stars.join(sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("s")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("t")), "dst")
+    wanted = classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("doc_id", "text_key", "rep")
+    own_text = rows.join(wanted, ["doc_id", "text_key"]).select("rep", "text").dropDuplicates(["rep"])
+    sets = cut(own_text.mapInArrow(_set_builder(width), "rep bigint, shingles array<bigint>"))
+    both = stars.join(sets.select(F.col("rep").alias("src"), F.col("shingles").alias("s")), "src").join(sets.select(F.col("rep").alias("dst"), F.col("shingles").alias("t")), "dst")
     common = F.size(F.array_intersect("s", "t"))
     links = cut(both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("src", "dst"))
     known = components(links)
@@ -222,7 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         known = components(known.select(F.col("node").alias("src"), F.col("component").alias("dst")).where("src <> dst").union(more))
 
-    own = classes.select("set_key", "rep").join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    joined = drawn.drop("signature").join(own, "set_key", "left")
+    # A component is named by the smallest id of its classes.
+    known = known.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "doc_id"), "rep")
+    names = known.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = known.join(names, "component").select("rep", "name")
+    own = classes.select("set_key", "rep", "doc_id").join(named, "rep", "left").select("set_key", F.coalesce("name", "doc_id").alias("component"))
+    joined = drawn.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

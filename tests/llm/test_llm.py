@@ -124,6 +124,16 @@ def test_near_odd_rows(spark, odd):
     assert near_dedup.near_duplicates(odd.withColumn("doc_id", F.lit(None).cast("long"))).where("kept").count() == len(ODD)
 
 
+def test_near_texts_of_one_id(spark):
+    """An id with two texts, one of them a near copy of another id's: in any order only that one is linked."""
+    a = " ".join(f"w{i}" for i in range(24))
+    rows = [(1, a), (2, a + " more"), (2, "other words here now"), (3, "other words here now"), (2, a + " more")]
+    for k in range(len(rows)):
+        turned = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").coalesce(1)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(turned).collect())
+        assert got == [(1, 20, 1, True), (2, 1, 2, True), (2, 21, 1, False), (2, 21, 1, False), (3, 1, 2, False)]
+
+
 # 2 language
 
 
