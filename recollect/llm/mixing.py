@@ -23,6 +23,8 @@ RUN_SLOTS = 16384
 #: Words of a slot; more where there would be over MOST_SLOTS, so that their products fit 64 bits.
 SLOT_WORDS = 4096
 MOST_SLOTS = 1 << 30
+#: So many sources are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -101,29 +103,34 @@ def schedule(shares: DataFrame, slot_words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first, spans), a row for each row of ``docs``.
+    """(doc_id, size, source_size, target, taken, first, spans, source), a row for each row of ``docs``.
 
     ``taken``: words of the document that the mix takes, repeats counted, at most ``max_epochs``
     times its size; those of a source add up to its target, rounded. ``first``: the place of its first word in its source's shuffled order.
-    ``spans``: array of (low, high, repeats), word ranges of the document by the blocks they fall in.
+    ``spans``: array of (low, high, repeats, slots), word ranges of the document by the blocks they fall in, each with the slots of the
+    schedule that take it, first round first. Words in the order of their slots, then of ``first``, are the mix: each part of it has
+    the sources in their shares.
 
     The order within a source is by a hash of the id, then the id, then size; it is the same in
     every run. Null text has size 0 and is taken 0 times; null sources are one source, the last.
     Rows that repeat are separate documents. An empty table gives no rows.
     """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.lit(6)).alias("draw")))
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     shares = cut(targets(sources, weights, max_epochs))
     total = shares.agg(F.sum("source_size")).first()[0] or 0
     words = max(SLOT_WORDS, total // MOST_SLOTS)
     whole = F.least(F.lit(words), F.col("source_size") - F.col("block") * words)
-    # Of each block: how often it is taken whole, and up to which word once more.
+    # Of each block: how often it is taken whole, and up to which word once more, with the slots; at most a slot an epoch and one.
     slots = schedule(shares, words).alias("q").join(shares.select(F.col("source").alias("s"), "source_size"), F.expr("q.source <=> s"))
-    repeats = slots.groupBy("q.source", "block").agg(F.count_if(F.col("words") == whole).alias("repeats"), F.max(F.when(F.col("words") < whole, F.col("words"))).alias("part"))
+    repeats = slots.groupBy("q.source", "block").agg(F.count_if(F.col("words") == whole).alias("repeats"), F.max(F.when(F.col("words") < whole, F.col("words"))).alias("part"),
+        F.sort_array(F.collect_list(F.when(F.col("words") == whole, F.struct("rank", "slot")))).alias("slots"), F.max(F.when(F.col("words") < whole, F.col("slot"))).alias("last"))
 
     # Two-level running sums of words in the order of ``draw``: over buckets, then inside a bucket.
     buckets = max(1, sized.count() // BUCKET_ROWS)
-    placed = sized.withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 1), F.lit(1 << 40)) % buckets if buckets > 1 else F.lit(0).cast("long"))
+    # Buckets are ranges of ``draw``, which has 60 bits.
+    placed = sized.withColumn("bucket", F.expr(f"shiftright(shiftright(draw, 30) * {buckets}L, 30)"))
     key = [F.col("source"), F.col("bucket")]
     heads = placed.groupBy(*key).agg(F.sum("size").alias("words"))
     heads = heads.select("source", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -141,15 +148,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     hi = F.least((F.col("p.block") + 1) * words - F.col("first"), F.col("size"))
     end = F.greatest(lo, F.least(hi, F.col("p.block") * words + F.coalesce("part", F.lit(0)) - F.col("first")))
 
-    def span(low: Column, high: Column, times: Column) -> Column:
-        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), times.alias("repeats"))
+    def span(low: Column, high: Column, times: Column, slots: Column) -> Column:
+        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), times.alias("repeats"), slots.alias("slots"))
 
-    both = F.array(span(lo, end, F.col("repeats") + 1), span(end, hi, F.col("repeats")))
+    whole_slots = F.transform("slots", lambda x: x["slot"])
+    both = F.array(span(lo, end, F.col("repeats") + 1, F.concat(whole_slots, F.array("last"))), span(end, hi, F.col("repeats"), whole_slots))
     pieces = pieces.select("p.doc_id", "p.source", "first", F.explode(F.filter(both, lambda x: (x["low"] < x["high"]) & (x["repeats"] > 0))).alias("span"))
     counted = F.sum((F.col("span.high") - F.col("span.low")) * F.col("span.repeats")).cast("long")
     taken = pieces.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("first").alias("t_first"))
     taken = taken.agg(counted.alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
     out = placed.join(taken, F.expr("doc_id <=> t_id and first = t_first and source <=> t_source and size > 0"), "left")
     s = shares.select(F.col("source").alias("s_source"), "source_size", "target")
-    out = out.join(F.broadcast(s), F.expr("source <=> s_source"))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first", F.coalesce("spans", F.array().cast("array<struct<low:bigint,high:bigint,repeats:bigint>>")).alias("spans"), F.col("source"))
+    few = shares.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    out = out.join(F.broadcast(s) if few else s, F.expr("source <=> s_source"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first", F.coalesce("spans", F.array().cast("array<struct<low:bigint,high:bigint,repeats:bigint,slots:array<bigint>>>")).alias("spans"), F.col("source"))

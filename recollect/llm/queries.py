@@ -50,7 +50,9 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    slots = F.flatten(F.transform("spans", lambda s: s["slots"]))
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).withColumn("slots", slots)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"), F.size(F.array_distinct("slots")).cast("long").alias("n_slots"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,4 +197,26 @@ b AS (SELECT word, count(*) AS n_near, first({{'x': x, 'n': n}} ORDER BY n DESC,
 f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * v.n THEN b.x END AS form, CASE WHEN b.n >= 5 * v.n THEN b.n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
 r AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
 SELECT f.word, form, arg_max(root, step) AS root, n, n_near, form_n FROM f JOIN r ON r.word = f.word GROUP BY f.word, form, n, n_near, form_n""",
+    "op6_mixing": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:15] AS BIGINT) AS draw FROM documents),
+s AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
+c AS (SELECT *, [5.0, 2.0, 1.0][1 + (nth - 1) % 3]::DOUBLE AS w, 3.0 * n AS cap, sum(n) OVER () AS total FROM s),
+-- Sources in the order in which they are held; the level of the first that isn't counts for the rest.
+f AS (SELECT *, (total - coalesce(sum(cap) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k
+  FROM c WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, min(CASE WHEN cap >= level * w THEN k END) OVER () AS free FROM f),
+t AS (SELECT source, CAST(n AS BIGINT) AS n, CASE WHEN free IS NULL OR k < free THEN cap ELSE (SELECT level FROM g h WHERE h.k = g.free) * w END AS target FROM g),
+b AS (SELECT *, (n + 4095) // 4096 AS blocks, goal // n * ((n + 4095) // 4096) + (goal % n + 4095) // 4096 AS slots FROM (SELECT *, CAST(round(target) AS BIGINT) AS goal FROM t) WHERE n > 0),
+a AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b),
+-- The first Fibonacci number that is not below the number of slots, and the one before, which is its own inverse up to the sign.
+fib(step, modulus) AS (SELECT CAST(1 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT modulus, step + modulus FROM fib WHERE modulus < (SELECT sum(slots) FROM a)),
+l AS (SELECT modulus, CASE WHEN step * step % modulus = 1 % modulus THEN step ELSE modulus - step END AS back FROM fib ORDER BY modulus DESC LIMIT 1),
+q AS (SELECT source, blocks, CAST((start + i) * back % modulus AS BIGINT) AS slot FROM (SELECT *, unnest(range(CAST(slots AS BIGINT))) AS i FROM a), l),
+r AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank, blocks FROM q),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d),
+m AS (SELECT o.doc_id, size, t.n, t.target, CASE WHEN t.n = 0 THEN 0 ELSE goal // t.n * size + greatest(0, least(first + size, goal % t.n) - first) END AS taken
+  FROM o JOIN t ON t.source IS NOT DISTINCT FROM o.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM o.source),
+v AS (SELECT o.doc_id, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM o JOIN a ON a.source IS NOT DISTINCT FROM o.source JOIN r ON r.source IS NOT DISTINCT FROM o.source
+  WHERE size > 0 AND r.rank % r.blocks BETWEEN first // 4096 AND (first + size - 1) // 4096 AND (r.rank < a.slots - 1 OR goal % n = 0 OR first < goal % n) GROUP BY o.doc_id)
+SELECT m.doc_id, size, n AS source_size, target, CAST(taken AS BIGINT) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM m LEFT JOIN v ON v.doc_id = m.doc_id""",
 }

@@ -414,6 +414,39 @@ def test_lattice_is_a_permutation(slots):
         assert len({i * step % modulus for i in range(modulus)}) == modulus
 
 
+def mixed_in_order(spark, df):
+    import corpus_pipeline
+
+    return [(r.doc_id, r.source, len(words(r.text))) for r in corpus_pipeline.mixing_stage(spark, df, SMALL).collect()]
+
+
+def test_every_part_of_the_mix_has_its_shares(spark, monkeypatch):
+    """Prefixes of the mixing stage's rows hold each source by its target; without the golden ratio they don't, and the rows differ."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{i}" for _ in range(int(rng.integers(20, 90)))), "abc"[i % 3], 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    monkeypatch.setattr(mixing, "SLOT_WORDS", 128)
+    targets = {r.source: r.target for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    total = sum(targets.values())
+
+    def worst(order):
+        """The largest distance of a source from its share, in words, at any row."""
+        sums, far = dict.fromkeys(targets, 0), 0.0
+        for _, source, n in order:
+            sums[source] += n
+            far = max(far, *(abs(sums[s] - t / total * sum(sums.values())) for s, t in targets.items()))
+        return far
+
+    golden = mixed_in_order(spark, df)
+    assert worst(golden) < 10 * 128 and golden == mixed_in_order(spark, df.repartition(5))
+    slots = {r.doc_id: r.spans for r in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "lattice", lambda n: (n, 1) if n else (2, 1))
+    plain = mixed_in_order(spark, df)
+    assert sorted(plain) == sorted(golden) and worst(plain) > 50 * 128
+    other = {r.doc_id: r.spans for r in mixing.mix(df).collect()}
+    assert sum(other[i] != slots[i] for i in slots) > 600
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 3 * r.size for r in got)
