@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import line_dedup, mixing, near_dedup, pieces, quality
-from recollect.llm._session import checkpoint_folder, table
+from recollect.llm._session import checkpoint_folder, cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,27 +46,45 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def _own_keys(size: Column) -> list[Column]:
+    """Two hashes by which rows of one id and source meet their shares; rows without an id meet by size, too."""
+    by = ["doc_id", "source", F.when(F.col("doc_id").isNull(), size)]
+    return [F.xxhash64(*by).alias("_a"), F.xxhash64(F.lit("mix"), *by).alias("_b")]
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each time a document is taken, cut to the words the mix takes of it.
 
-    Rows with a null id and rows that repeat an id are documents of their own.
+    Rows come in the order of the schedule's slots, by the first slot of each: any part of the output has the sources
+    in their shares. Rows with a null id and rows that repeat an id are documents of their own; of those of one id and source the
+    shares go by size, then by text.
     """
-    # Rows of one id and source meet their shares in the order of size; rows without an id by size, too.
-    own = lambda size: [F.xxhash64(*salt, "doc_id", "source", F.when(F.col("doc_id").isNull(), size)).alias(name) for name, salt in (("_a", []), ("_b", [F.lit("mix")]))]
-    shares = mixing.mix(docs).select(*own(F.col("size")), F.struct("size", "first", "spans").alias("share")).groupBy("_a", "_b").agg(F.sort_array(F.collect_list("share")).alias("_shares"))
     size = mixing.word_count(F.col("text"))
+    shares = mixing.mix(docs).select(*_own_keys(F.col("size")), F.struct("size", "first", "spans").alias("share"))
+    shares = cut(shares.groupBy("_a", "_b").agg(F.sort_array(F.collect_list("share")).alias("_shares")))
+    slots = F.flatten(F.transform(F.flatten(F.transform("_shares", lambda s: s["spans"])), lambda s: s["slots"]))
+    last = shares.agg(F.max(F.array_max(slots))).first()[0] or 0
+
     group = Window.partitionBy("_a", "_b")
-    placed = docs.select("*", *own(size)).withColumn("_many", F.count(F.lit(1)).over(group) > 1)
-    placed = placed.withColumn("_nth", F.row_number().over(group.orderBy(F.when(F.col("_many"), size))))
-    joined = placed.join(shares, ["_a", "_b"]).withColumn("_share", F.element_at("_shares", F.col("_nth"))).where(F.size("_share.spans") > 0)
-    joined = joined.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_share.spans", lambda s: s["repeats"])).cast("int"))))
+    placed = docs.select("*", *_own_keys(size)).withColumn("_many", F.count(F.lit(1)).over(group) > 1)
+    nth = F.row_number().over(group.orderBy(F.when(F.col("_many"), size), F.when(F.col("_many"), F.col("text"))))
+    joined = placed.withColumn("_nth", nth).join(shares, ["_a", "_b"])
+    joined = joined.withColumn("_share", F.element_at("_shares", F.col("_nth"))).where(F.size("_share.spans") > 0)
+    rounds = F.array_max(F.transform("_share.spans", lambda s: s["repeats"])).cast("int")
+    joined = joined.withColumn("_round", F.explode(F.sequence(F.lit(1), rounds)))
     joined = joined.withColumn("_spans", F.filter("_share.spans", lambda s: s["repeats"] >= F.col("_round")))
-    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]) == F.col("_share.size")
-    joined = joined.withColumn("_spans", F.when(~whole, F.col("_spans")))
+    joined = joined.withColumn("_slot", F.array_min(F.transform("_spans", lambda s: F.element_at(s["slots"], F.col("_round")))))
+
+    taken = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    joined = joined.withColumn("_part", F.when(taken < F.col("_share.size"), F.col("_spans")))
     words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(part)
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    some = F.transform("_part", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))
+    text = F.when(F.col("_part").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(some), " "))
+    n_chars = F.when(F.col("_part").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    mixed = joined.withColumn("text", text).withColumn("n_chars", n_chars).select(*docs.columns, "_slot", F.col("_share.first").alias("_first"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_order = mixed.repartitionById(parts, F.expr(f"cast(_slot * {parts} div {last + 1} as int)"))
+    return in_order.sortWithinPartitions("_slot", "_first").select(docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
