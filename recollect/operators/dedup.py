@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import schema as S
-from recollect.operators import text, vector
+from recollect.operators import metric, text
 
 
 def pair_key(a: str = "a", b: str = "b"):
@@ -29,53 +28,85 @@ def near_duplicates(memories: DataFrame, jaccard: float = 0.8, loose: float = S.
     return both.where(F.when(F.col("cosine").isNull(), F.col("jaccard") > jaccard).otherwise((F.col("jaccard") > loose) & (F.col("cosine") > cosine)))
 
 
+def _is_new(since_ms: int) -> Column:
+    """Whether a row was written or changed after the watermark; all are new without one."""
+    return F.greatest("created_at", "modified_at") > since_ms if since_ms > 0 else F.lit(True)
+
+
+def _meeting(rows: DataFrame, groups: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows of :func:`metric.near_pairs`: for each group of ``groups`` (label, mode) those whose mode is not null."""
+    made = [rows.select(F.concat(F.lit(f"{name}:"), label).alias("g"), "id", "embedding", mode.alias("mode")).where("mode is not null") for name, (label, mode) in groups.items()]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _mode(*cases: tuple[Column, int]) -> Column:
+    """The mode of the first case that holds, else null."""
+    return F.coalesce(*[F.when(when, F.lit(mode)) for when, mode in cases])
+
+
 def reconcile_pairs(memories: DataFrame, kept: DataFrame | None = None, since_ms: int = 0, low: float = S.DEFAULTS.reconcile_min_sim, high: float = S.DEFAULTS.reconcile_max_sim, gap_ms: int = S.HOUR_MS) -> DataFrame:
     """(older, newer, similarity, key): one memory may restate another.
 
     Similar but not equal, at least ``gap_ms`` apart, the newer in no lower layer, of one namespace or one
-    of them ``default``, the newer since ``since_ms``; Buffer rows only as the newer. Keys in ``kept`` are left out.
+    of them ``default``. Working and Core rows written or changed after ``since_ms`` meet all such rows, Buffer rows since then
+    meet them as the newer one; rows from before the watermark don't meet each other, so the work grows with
+    what is new. Pairs whose key is in ``kept`` are left out before anything else is read of them.
     """
-    spaces = memories.where((F.col("layer") >= S.BUFFER) & F.col("embedding").isNotNull())
-    facts = spaces.select("id", "layer", "created_at", "namespace")
-    near = _in_namespaces(spaces, low, high, True)
+    rows = memories.where((F.col("layer") >= S.BUFFER) & F.col("embedding").isNotNull())
+    fresh, home = _is_new(since_ms), F.col("namespace") == S.DEFAULT_NAMESPACE
+    buffer, lasting = F.col("layer") == S.BUFFER, F.col("layer") >= S.WORKING
+    one, none = F.col("namespace"), F.lit("")
+    groups = {
+        "own": (one, _mode((buffer & fresh, metric.PROBE), (lasting & fresh, metric.NEW), (lasting, metric.OLD))),
+        "from default": (none, _mode((home & fresh, metric.PROBE), (~home & lasting, metric.OLD))),
+        "to default": (none, _mode((~home & lasting & fresh, metric.PROBE), (home & lasting & ~fresh, metric.OLD))),
+        "buffer to default": (none, _mode((~home & buffer & fresh, metric.PROBE), (home & lasting, metric.OLD))),
+    }
+    near = metric.near_pairs(_meeting(rows, groups), low, high, True).withColumn("key", pair_key())
+    if kept is not None:
+        near = near.join(kept.select("key"), "key", "left_anti")
+    facts = rows.select("id", "layer", "created_at")
     x, y = (facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in ("a", "b"))
     p = near.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b"))
     first = F.col("created_at_a") <= F.col("created_at_b")
     pick = lambda c, newer: F.when(first, F.col(f"{c}_{'b' if newer else 'a'}")).otherwise(F.col(f"{c}_{'a' if newer else 'b'}"))
-    p = p.select(pick("id", False).alias("older"), pick("id", True).alias("newer"), "similarity", pair_key().alias("key"), pick("layer", False).alias("lo"), pick("layer", True).alias("ln"), pick("created_at", False).alias("to"), pick("created_at", True).alias("tn"))
-    p = p.where((F.col("tn") - F.col("to") >= gap_ms) & (F.col("tn") >= since_ms) & (F.col("lo") >= S.WORKING) & ((F.col("ln") >= F.col("lo")) | (F.col("ln") == S.BUFFER)))
-    p = p.select("older", "newer", "similarity", "key")
-    return p if kept is None else p.join(kept.select("key"), "key", "left_anti")
-
-
-def core_overlaps(memories: DataFrame, threshold: float = S.DEFAULTS.core_overlap_sim, seen: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity, key): Core memories that say the same; keys in ``seen`` are left out."""
-    p = vector.similar_pairs(memories.where(F.col("layer") == S.CORE), threshold).select("a", "b", "similarity", pair_key().alias("key"))
+    p = p.select(
+        pick("id", False).alias("older"), pick("id", True).alias("newer"), "similarity", "key", pick("layer", False).alias("lo"), pick("layer", True).alias("ln"),
+        pick("created_at", False).alias("to"), pick("created_at", True).alias("tn"),
+    )
+    p = p.where((F.col("tn") - F.col("to") >= gap_ms) & (F.col("lo") >= S.WORKING) & ((F.col("ln") >= F.col("lo")) | (F.col("ln") == S.BUFFER)))
+    return p.select("older", "newer", "similarity", "key")
+
+
+def core_overlaps(memories: DataFrame, threshold: float = S.DEFAULTS.core_overlap_sim, seen: DataFrame | None = None, since_ms: int = 0) -> DataFrame:
+    """(a, b, similarity, key): Core memories that say the same, one of them new since ``since_ms``; keys in ``seen`` are left out."""
+    core = memories.where(F.col("layer") == S.CORE)
+    mode = _mode((_is_new(since_ms), metric.NEW), (F.lit(True), metric.OLD))
+    p = metric.near_pairs(core.select(F.lit("").alias("g"), "id", "embedding", mode.alias("mode")), threshold)
+    p = p.select("a", "b", "similarity", pair_key().alias("key"))
     return p if seen is None else p.join(seen.select("key"), "key", "left_anti")
 
 
-def merge_pairs(memories: DataFrame, threshold: float = S.DEFAULTS.merge_sim) -> DataFrame:
-    """(layer, namespace, a, b, similarity) of one layer, and of one namespace or with one row in ``default``.
+def merge_pairs(memories: DataFrame, threshold: float = S.DEFAULTS.merge_sim, since_ms: int = 0) -> DataFrame:
+    """(layer, namespace, a, b, similarity) of one layer, and of one namespace or with one row in ``default``; one row is new since ``since_ms``.
 
     A pair of ``default`` with another namespace is in ``default``, where its merged row stays.
     """
-    out = None
-    for layer in S.LAYER_NAMES:
-        p = _in_namespaces(memories.where(F.col("layer") == layer), threshold).withColumn("layer", F.lit(layer))
-        out = p if out is None else out.unionByName(p)
-    names = memories.select("id", "namespace")
-    p = out.join(names.select(F.col("id").alias("a"), F.col("namespace").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("namespace").alias("y")), "b")
-    home = (F.col("x") == S.DEFAULT_NAMESPACE) | (F.col("y") == S.DEFAULT_NAMESPACE)
-    return p.select("layer", F.when(home, S.DEFAULT_NAMESPACE).otherwise(F.col("x")).alias("namespace"), "a", "b", "similarity")
-
-
-def _in_namespaces(rows: DataFrame, low: float, high: float = 2.0, inclusive: bool = False) -> DataFrame:
-    """(a, b, similarity): pairs inside each namespace, and of a row of ``default`` with one of any other; no row is copied to a namespace."""
-    own = vector.similar_pairs(rows, low, by="namespace", upto=high, inclusive=inclusive).select("a", "b", "similarity")
-    at_home = F.col("namespace") == S.DEFAULT_NAMESPACE
-    least = math.nextafter(low, -1.0) if inclusive else low
-    met = vector.similar_across(rows.where(at_home), rows.where(~at_home), least).where(F.col("similarity") <= high)
-    return own.unionByName(met.select(F.least("new_id", "old_id").alias("a"), F.greatest("new_id", "old_id").alias("b"), "similarity"))
+    rows = memories.where(F.col("layer").isin(*S.LAYER_NAMES))
+    fresh, home, layer = _is_new(since_ms), F.col("namespace") == S.DEFAULT_NAMESPACE, F.col("layer").cast("string")
+    groups = {
+        "own": (F.concat_ws(":", layer, "namespace"), _mode((fresh, metric.NEW), (F.lit(True), metric.OLD))),
+        "from default": (layer, _mode((home & fresh, metric.PROBE), (~home, metric.OLD))),
+        "to default": (layer, _mode((~home & fresh, metric.PROBE), (home & ~fresh, metric.OLD))),
+    }
+    p = metric.near_pairs(_meeting(rows, groups), threshold)
+    own = F.col("g").startswith("own:")
+    layer_of = F.when(own, F.split_part("g", F.lit(":"), F.lit(2))).otherwise(F.element_at(F.split("g", ":"), -1)).cast("int")
+    namespace = F.when(own, F.expr("substring(g, length(split_part(g, ':', 2)) + 6)")).otherwise(S.DEFAULT_NAMESPACE)
+    return p.select(layer_of.alias("layer"), namespace.alias("namespace"), "a", "b", "similarity")
 
 
 def dedup_buffer(memories: DataFrame, threshold: float = S.DEFAULTS.triage_dedup_sim, accumulate: bool = False) -> DataFrame:
@@ -87,7 +118,7 @@ def dedup_buffer(memories: DataFrame, threshold: float = S.DEFAULTS.triage_dedup
     component of pairs only, which the exact pair join finds first.
     """
     buffer = memories.where((F.col("layer") == S.BUFFER) & F.col("embedding").isNotNull())
-    pairs = vector.similar_pairs(buffer, threshold, by="namespace", inclusive=True)
+    pairs = metric.near_pairs(buffer.select(F.col("namespace").alias("g"), "id", "embedding", F.lit(metric.NEW).alias("mode")), threshold, inclusive=True)
     from recollect.operators.cluster import connected
 
     comp = connected(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))

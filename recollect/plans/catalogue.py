@@ -295,6 +295,27 @@ def _(s, d):
     return dedup.reconcile_pairs(mem(s, d, True), low=0.35, high=0.5).select("older", "newer", r6(F.col("similarity"), "similarity"), "key")
 
 
+#: Rows written or changed later are new to the reconciliation.
+SINCE_MS = A.NOW_MS - 20 * S.DAY_MS
+_NEWER = "CASE WHEN f THEN {0}y ELSE {0}x END"
+
+
+@register(
+    "reconcile_new_pairs",
+    f"""SELECT CAST(CASE WHEN f THEN xn ELSE yn END AS VARCHAR) AS older, CAST(CASE WHEN f THEN yn ELSE xn END AS VARCHAR) AS newer, round(sim, 6) AS similarity, a || ':' || b AS key
+FROM (SELECT *, CASE WHEN a = CAST(xn AS VARCHAR) THEN cx <= cy ELSE NOT (cy <= cx) END AS f FROM pairs)
+WHERE (nx = ny OR nx = 'default' OR ny = 'default') AND sim >= 0.35 AND sim <= 0.5 AND abs(cx - cy) >= {S.HOUR_MS} AND {_NEWER.format("c")} > {SINCE_MS} AND (xn + yn) % 7 <> 0
+  AND CASE WHEN f THEN lx ELSE ly END >= 2 AND ({_NEWER.format("l")} >= CASE WHEN f THEN lx ELSE ly END OR {_NEWER.format("l")} = 1)""",
+    MEM,
+    PAIRS,
+)
+def _(s, d):
+    """The pairs of one run after another: new rows since the watermark, without pairs that were judged before."""
+    m = mem(s, d, True)
+    judged = dedup.reconcile_pairs(m, low=0.35, high=0.5).where((F.col("older").cast("long") + F.col("newer").cast("long")) % 7 == 0)
+    return dedup.reconcile_pairs(m, judged, SINCE_MS, 0.35, 0.5).select("older", "newer", r6(F.col("similarity"), "similarity"), "key")
+
+
 @register("merge_pairs", "SELECT lx AS layer, nx AS namespace, a, b, round(sim, 6) AS similarity FROM pairs WHERE lx = ly AND nx = ny AND sim > 0.3", MEM, PAIRS)
 def _(s, d):
     return dedup.merge_pairs(mem(s, d, True), 0.3).select("layer", "namespace", "a", "b", r6(F.col("similarity"), "similarity"))
