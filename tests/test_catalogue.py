@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import SMALL, same_rows
-from recollect.plans import catalogue_state as catalogue
+from recollect.plans import catalogue_index as catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
