@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from recollect.operators import vector, vector_index
-from recollect.plans.catalogue import COS, MEM, QUERY_VECTOR, query_vector, r6
+from recollect.operators import vector_index
+from recollect.operators.lineage import shared_folder
+from recollect.plans.catalogue import COS, MEM, QUERY_VECTOR, TURNS, USAGE, query_vector, r6
 from recollect.plans.catalogue_state import ORACLE, QUERIES, mem, register
+from recollect.sources import adapters as A
+from recollect.streaming import capture, windows
 
 __all__ = ["ORACLE", "QUERIES"]
 
-NUMBER = F.col("id").cast("long")
+
+
+def number():
+    return F.col("id").cast("long")
 
 
 def changed_index(s, m):
     """An index of three quarters of the memories, to which the rest was added and from which a third was taken, which makes it rebuild."""
-    index = vector_index.build(m.where(NUMBER % 4 != 0))
-    index = vector_index.insert(index, m.where(NUMBER % 4 == 0))
-    index = vector_index.remove(index, m.where(NUMBER % 3 == 0))
+    index = vector_index.build(m.where(number() % 4 != 0))
+    index = vector_index.insert(index, m.where(number() % 4 == 0))
+    index = vector_index.remove(index, m.where(number() % 3 == 0))
     return vector_index.rebuild(index, s)
 
 
@@ -41,9 +49,90 @@ def _(s, d):
     """Every row whose id is divisible by 100 asks a third of the lists; its ten neighbours are counted against those of an exact search."""
     m = mem(s, d, True)
     index = changed_index(s, m)
-    asked = m.where(NUMBER % 100 == 0).select(F.col("id").alias("query_id"), "embedding")
+    asked = m.where(number() % 100 == 0).select(F.col("id").alias("query_id"), "embedding")
     found = vector_index.search_all(index, asked, 10, max(8, len(index.centroids) // 3))
     exact = vector_index.search_all(index, asked, 10, len(index.centroids))
     return exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(
         F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.sum("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_is_over_90_percent")
     )
+
+
+# Stateful windows
+
+
+def played(rows, last, build, spec, parts=3):
+    """Run a stream over rows that come in some micro-batches, the ``last`` after all others, to its end; what it emits as a table in the shared folder."""
+    s, folder = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/windows-{uuid.uuid4().hex}"
+    for each in (rows.repartition(parts), last.coalesce(1)):
+        each.write.mode("append").parquet(f"{folder}/in")  # files are read in the order of their times
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    capture.start(build(stream), lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}"), f"{folder}/check").awaitTermination()
+    s.createDataFrame([], spec).write.parquet(f"{folder}/out/n=-1")
+    return s.read.schema(spec).parquet(f"{folder}/out/*")
+
+
+#: Rows may be late by more than all of a test table's time, as its rows come in no order.
+LATE_MS = 2 * 366 * 86_400_000
+LATE = f"{LATE_MS} milliseconds"
+BATCH_MS, BATCH_MOST = 12 * 3_600_000, 3
+
+_ITEMS = f"""items AS (SELECT component AS queue, CAST(id AS VARCHAR) AS id, ts FROM usage UNION ALL SELECT 'end', 'end', max(ts) + {LATE_MS} + 1 + {BATCH_MS} FROM usage HAVING count(*) > 0),
+m AS (SELECT max(ts) - {LATE_MS} AS mark FROM items), i AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY ts, id) AS i FROM items, m WHERE ts < mark)"""
+
+
+def _windows_sql(most: int, select: str) -> str:
+    """From each item the first of the next batch, then batches by following these from the first item on."""
+    return f"""WITH RECURSIVE {USAGE}, {_ITEMS},
+n AS (SELECT *, least(i + {most}, 1 + max(i) OVER (PARTITION BY queue ORDER BY ts RANGE BETWEEN CURRENT ROW AND {BATCH_MS - 1} FOLLOWING)) AS next FROM i),
+b AS (SELECT queue, CAST(0 AS BIGINT) AS batch, i, next, ts, mark FROM n WHERE i = 1 UNION ALL SELECT n.queue, batch + 1, n.i, n.next, n.ts, n.mark FROM b JOIN n ON n.queue = b.queue AND n.i = b.next),
+c AS (SELECT b.queue, batch, b.ts AS opened, CASE WHEN b.next - b.i = {most} THEN max(i.ts) ELSE b.ts + {BATCH_MS} END AS closed, string_agg(i.id, ',' ORDER BY i.i) AS ids, count(*) AS n
+  FROM b JOIN i ON i.queue = b.queue AND i.i >= b.i AND i.i < b.next WHERE b.next - b.i = {most} OR b.ts + {BATCH_MS} < b.mark GROUP BY b.queue, batch, b.ts, b.next, b.i)
+SELECT {select} FROM c"""
+
+
+def _queued(s, d):
+    """Usage rows by component, and one long after, which brings the watermark past them all."""
+    rows = A.usage(s, d).select(F.col("component").alias("queue"), F.col("id").cast("string").alias("id"), "ts")
+    last = rows.agg(F.max("ts").alias("ts")).where("ts is not null").select(F.lit("end").alias("queue"), F.lit("end").alias("id"), (F.col("ts") + LATE_MS + 1 + BATCH_MS).alias("ts"))
+    return rows, last
+
+
+@register("embed_batches_stream")
+def _(s, d):
+    made = played(*_queued(s, d), lambda x: windows.micro_batches(x, LATE, BATCH_MS, BATCH_MOST), "queue string, batch long, opened long, closed long, ids array<string>")
+    return made.withColumn("ids", F.array_join("ids", ","))
+
+
+@register("topic_debounce_stream")
+def _(s, d):
+    return played(*_queued(s, d), lambda x: windows.debounced(x, LATE, BATCH_MS), "queue string, run long, opened long, fires long, signals int").withColumn("signals", F.col("signals").cast("long"))
+
+
+ORACLE["embed_batches_stream"] = _windows_sql(BATCH_MOST, "queue, batch, opened, closed, ids")
+ORACLE["topic_debounce_stream"] = _windows_sql(1 << 40, "queue, batch AS run, opened, closed AS fires, n AS signals")
+
+
+@register(
+    "consolidation_ticks_stream",
+    f"SELECT (ts // 1800000 + 1) * 1800000 AS fires, count(*) AS writes FROM items WHERE (ts // 1800000 + 1) * 1800000 <= (SELECT max(ts) - {LATE_MS} FROM items) GROUP BY 1",
+    USAGE,
+    _ITEMS,
+)
+def _(s, d):
+    return played(*[x.select("ts") for x in _queued(s, d)], lambda x: windows.ticks(x, LATE), "fires long, writes long")
+
+
+@register(
+    "silence_flush_stream",
+    f"""SELECT session_key, max(ends) + 30000 AS flushed_at, string_agg(content, chr(10) || '---' || chr(10) ORDER BY id) AS content, count(*) AS turns
+FROM (SELECT *, max(created_at) OVER (PARTITION BY burst) AS ends FROM (SELECT *, sum(quiet) OVER (ORDER BY created_at RANGE UNBOUNDED PRECEDING) AS burst
+  FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (ORDER BY created_at) >= 30000 THEN 1 ELSE 0 END AS quiet FROM turns)))
+GROUP BY session_key, burst""",
+    TURNS,
+)
+def _(s, d):
+    """Turns come in no order, so they may be late by all of the table's time; a last turn long after lets the watermark pass them."""
+    rows = A.turns(s, d).select("session_key", "id", "content", "created_at")
+    last = rows.agg(F.max("created_at").alias("c"), F.max("id").alias("id")).where("c is not null")
+    last = last.select(F.lit("end").alias("session_key"), (F.col("id") + 1).alias("id"), F.lit("end").alias("content"), (F.col("c") + LATE_MS + 60_000).alias("created_at"))
+    return played(rows, last, lambda x: windows.silence_flush(x, LATE), "session_key string, flushed_at long, content string, turns long")
