@@ -102,10 +102,10 @@ def semantic(memories: DataFrame, c: Candidates, r: Request) -> dict[str, float]
     return {x.id: x.sim for x in near.select("id", "sim").collect()}
 
 
-def relevance(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
-    """The rows found, with sim, f and relevance."""
+def relevance(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds = S.DEFAULTS, counts: text.Counts | None = None) -> DataFrame:
+    """The rows found, with sim, f and relevance; ``counts`` of all its terms can come from an index (``text_index.term_counts``)."""
     words = list(dict.fromkeys(text.query_terms(r.query)))
-    counts = text.count_terms(memories, [r.query, *r.extra_queries])
+    counts = text.count_terms(memories, [r.query, *r.extra_queries]) if counts is None else counts
     c = candidates(memories, facts, r, counts, t)
     near = {i: x for i, x in semantic(memories, c, r).items() if x >= t.recall_sim_floor}
     ids = list(dict.fromkeys([*near, *c.fts, *c.extra]))
@@ -143,8 +143,8 @@ def relevance(memories: DataFrame, facts: DataFrame, r: Request, t: S.Thresholds
     return rows.withColumn("relevance", F.coalesce(rel, F.when(F.col("linked"), 1.0))).where(F.col("relevance").isNotNull())
 
 
-def scored(memories: DataFrame, facts: DataFrame, r: Request, now_ms: int, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
-    rows = relevance(memories, facts, r, t)
+def scored(memories: DataFrame, facts: DataFrame, r: Request, now_ms: int, t: S.Thresholds = S.DEFAULTS, counts: text.Counts | None = None) -> DataFrame:
+    rows = relevance(memories, facts, r, t, counts)
     rows = rows.withColumns({"recency": X.recency(F.col("last_accessed"), F.col("decay_rate"), now_ms), "weight": X.weight()})
     return rows.withColumn("score", X.score(F.col("relevance"), F.col("weight"), F.col("recency"))).where(F.col("score") >= r.min_score)
 
@@ -169,9 +169,9 @@ def budget_prefix(df: DataFrame, order: list[Column], budget: int, limit: int, o
     return page.withColumn("rank", (F.col("_r") - offset).cast("int")).drop("_r", "_sum")
 
 
-def recall(memories: DataFrame, facts: DataFrame, r: Request, now_ms: int, t: S.Thresholds = S.DEFAULTS) -> DataFrame:
+def recall(memories: DataFrame, facts: DataFrame, r: Request, now_ms: int, t: S.Thresholds = S.DEFAULTS, counts: text.Counts | None = None) -> DataFrame:
     """The page: rank, id, score, relevance, recency, tokens and the memory's columns."""
-    rows = scored(memories, facts, r, now_ms, t)
+    rows = scored(memories, facts, r, now_ms, t, counts)
     return budget_prefix(rows, ordering(r.sort_by), r.budget, r.page, r.offset).drop("sim", "f", "x", "linked", "embedding")
 
 
