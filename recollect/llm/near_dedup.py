@@ -194,10 +194,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = rows.mapInArrow(_sketcher(width, n_chunks), "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, signature array<int>")
     drawn = cut(drawn.withColumn("row", F.monotonically_increasing_id()))
     some = drawn.where("n_shingles > 0 and doc_id is not null")
-    # A class is named by the number of its first row, as an id can stand at several texts.
+    # A class is named by its smallest id; where an id stands at several texts, by a number below all ids for each of them.
     first = F.min(F.struct("doc_id", "row", "text_key")).alias("f")
     classes = some.groupBy("set_key").agg(first, F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
-    classes = cut(classes.select("set_key", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), "signature", "n"))
+    classes = cut(classes.select("set_key", "f.doc_id", "f.row", "f.text_key", "signature", "n"))
+    twice = cut(classes.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("twice")))
+    if twice.isEmpty():
+        classes = classes.withColumn("rep", F.col("doc_id"))
+    else:
+        lowest = min(0, classes.agg(F.min("doc_id")).first()[0])
+        other = F.when(F.col("twice"), F.lit(lowest) - 1 - F.col("row")).otherwise(F.col("doc_id"))
+        classes = cut(classes.join(twice, "doc_id", "left").withColumn("rep", other))
 
     # Sets of under percent / (100 - percent) shingles have no other set within the threshold.
     keyed = classes.where(f"n * {100 - percent} >= {percent}").select("rep", F.explode(_keys(F.col("signature"), n_chunks)).alias("key"))
