@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,14 +152,3 @@ def roll_up(members: DataFrame, by: str) -> DataFrame:
     newest = F.max_by(F.struct("id", "content"), F.struct("created_at", "id"))
     tags = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "tags"))), lambda s: s["tags"])
     return members.groupBy(by).agg(newest.alias("_n"), F.sum("access_count").alias("access_count"), F.max("importance").alias("importance"), F.max("layer").alias("layer"), F.slice(F.array_distinct(F.flatten(tags)), 1, S.MAX_TAGS).alias("tags"), F.count(F.lit(1)).alias("members")).select(by, F.col("_n.id").alias("id"), F.col("_n.content").alias("content"), "access_count", "importance", "layer", "tags", "members")
-
-
-def batches(iterator: Iterator, size: int) -> Iterator[list]:
-    batch: list = []
-    for x in iterator:
-        batch.append(x)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch

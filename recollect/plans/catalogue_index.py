@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollect import schema as S
 from recollect.operators import text_index, vector_index
 from recollect.operators.lineage import shared_folder
-from recollect.plans import maintenance
+from recollect.plans import extraction, maintenance
 from recollect.plans import recall as R
 from recollect.plans.catalogue import (
     BM25, BUFFER_OK, CORE_OK, COS, DECAYED, EPOCH, FACTS, GATE, JAC, MEM, NOW_MS, PAIRS, QUERY, QUERY_VECTOR, TOKENISED, TURNS, USAGE, WEIGHT, query_vector, r6,
@@ -184,6 +184,25 @@ def _(s, d):
     return kept.unionByName(gone)
 
 
+# Extraction
+
+#: Brings the conversations of the test tables to the time of its memories.
+LATER_MS = 75 * S.DAY_MS
+
+
+@register(
+    "extraction_context",
+    f"""SELECT window_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY created_at DESC, id DESC) AS rank, id
+FROM (SELECT session_key AS window_id, max(created_at) + {LATER_MS} AS asked_at FROM turns GROUP BY 1) JOIN memories ON created_at <= asked_at AND created_at >= asked_at - {6 * S.HOUR_MS}) WHERE rank <= 30""",
+    MEM,
+    TURNS,
+)
+def _(s, d):
+    """The memories that the extraction of each session is told about."""
+    windows_of = A.turns(s, d).groupBy(F.col("session_key").alias("window_id")).agg((F.max("created_at") + LATER_MS).alias("at"))
+    return extraction.context(windows_of, mem(s, d))
+
+
 # Stateful windows
 
 

@@ -39,7 +39,7 @@ def _(s, d):
     return scans.get(mem(s, d), "42").select(*META)
 
 
-@register("resolve_prefix", "SELECT sha256('42') AS id")
+@register("resolve_prefix", f"SELECT sha256(id) AS id FROM memories WHERE starts_with(sha256(id), '{hashlib.sha256(b'42').hexdigest()[:12]}')", MEM)
 def _(s, d):
     m = mem(s, d).withColumn("id", F.sha2(F.col("id").cast("binary"), 256))
     return s.range(1).select(F.lit(scans.resolve_prefix(m, hashlib.sha256(b"42").hexdigest()[:12])).alias("id"))

@@ -1,10 +1,11 @@
 """Settings, caches, sessions, tree totals, two-sided vector joins, batches, CJK terms."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import scalars as X
-from recollect.operators import cluster, meta, text, topics, usage, vector
+from recollect.operators import cluster, lifecycle, meta, text, topics, usage, vector
 
 
 def test_settings(spark):
@@ -74,10 +75,17 @@ def test_approximate_search_finds_what_the_exact_one_does(spark):
     assert found >= 0.9 * 50
 
 
-def test_batches_are_filled_in_order(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "PACK_ROWS", 3)
-    df = spark.createDataFrame([(i, n) for i, n in enumerate([4, 4, 4, 20, 1, 9, 1])], "id long, size long")
-    assert [r.batch for r in cluster.packed(df, "size", 10).orderBy("id").collect()] == [0, 0, 1, 2, 3, 3, 4]
+def test_batches_are_filled_in_order(spark):
+    rng = np.random.default_rng(3)
+    for sizes in ([4, 4, 4, 20, 1, 9, 1], [0, 0, 25, 0, 3, 8, 0], rng.integers(0, 14, 120).tolist(), [11] * 5, [0] * 4):
+        want, batch, used = [], 0, 0
+        for n in sizes:
+            if used and used + n > 10:
+                batch, used = batch + 1, 0
+            used += n
+            want.append(batch)
+        df = spark.createDataFrame(list(enumerate(map(int, sizes))), "id long, size long")
+        assert [r.batch for r in cluster.packed(df, "size", 10).orderBy("id").collect()] == want
     assert cluster.packed(df.where("false"), "size", 10).count() == 0
 
 
@@ -88,3 +96,30 @@ def test_cjk_terms_of_queries_and_texts(spark):
     got = {r.id: r for r in spaced.select("*", X.tokens_in(F.col("s")).alias("n"), X.times_in(F.col("s"), "x").alias("x"), X.times_in(F.col("s"), "部署").alias("cjk"), X.times_in(F.col("s"), "cafe").alias("cafe")).collect()}
     assert all(r.n == len(r.w) for r in got.values())
     assert got["d"].x == 2 and got["a"].cjk == 1 and got["b"].cafe == 1 and got["c"].n == 0
+
+
+@pytest.mark.parametrize(
+    "tags,off,auto",
+    [
+        ([], "open", "open"),
+        (["_gate_pending_epoch:197"], "wait", "wait"),
+        (["_gate_pending_epoch:196"], "open", "open"),
+        (["gate-rejected", "_gate_epoch:153"], "wait", "wait"),
+        (["gate-rejected", "_gate_epoch:152"], "retry", "retry"),
+        (["gate-rejected"], "retry", "retry"),
+        (["gate-rejected-2", "_gate_epoch:57"], "wait", "final"),
+        (["gate-rejected-2", "_gate_epoch:56"], "retry", "final"),
+        (["gate-rejected-2", "gate-rejected", "_gate_epoch:190"], "wait", "final"),
+        (["gate-rejected-2", "_gate_pending_epoch:199"], "wait", "wait"),
+    ],
+)
+def test_every_gate_state(spark, tags, off, auto):
+    df = spark.createDataFrame([(tags,)], "tags array<string>")
+    assert tuple(df.select(lifecycle.gate_state(200, "off"), lifecycle.gate_state(200, "auto")).first()) == (off, auto)
+
+
+def test_triaged_rows_are_not_judged_again(spark):
+    rows = [(1, ["_triaged"], 0), (1, [], 0), (1, [], 500_000), (1, ["distilled"], 0), (2, [], 0)]
+    df = spark.createDataFrame(rows, "layer int, tags array<string>, created_at long")
+    got = [tuple(r) for r in df.select(lifecycle.triage_eligible(1_000_000), lifecycle.triage_eligible(1_000_000, True)).collect()]
+    assert got == [(True, False), (True, True), (False, False), (False, False), (False, False)]
