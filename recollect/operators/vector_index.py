@@ -144,7 +144,9 @@ def search(index: Index, spark: SparkSession, query: list[float], k: int, probes
 
 
 def search_all(index: Index, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-    """(query_id, rank, id, similarity) for a table of queries (query_id, embedding): each meets the rows of its own lists.
+    """(query_id, rank, id, similarity, probe) for a table of queries (query_id, embedding): each meets the rows of its own lists.
+
+    ``probe``: the how manieth of the query's lists, from 1, the row was in.
 
     Queries join the lists they probe, and ranks are limited before they are shuffled by query. Null and zero queries have no rows.
     """
@@ -161,10 +163,24 @@ def search_all(index: Index, queries: DataFrame, k: int, probes: int = 8) -> Dat
 
     kind = dict(queries.dtypes)["query_id"]
     fine = queries.where(F.col("embedding").isNotNull() & (X.norm(F.col("embedding")) > 0)).select("query_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    asked = fine.mapInArrow(probe, f"query_id {kind}, q array<float>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list"))
-    met = live(index, spark).join(asked, "list").select("query_id", "id", X.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    asked = fine.mapInArrow(probe, f"query_id {kind}, q array<float>, lists array<int>").select("query_id", "q", F.posexplode("lists").alias("probe", "list"))
+    met = live(index, spark).join(asked, "list").select("query_id", "id", X.cosine(F.col("embedding"), F.col("q")).alias("similarity"), (F.col("probe") + 1).alias("probe"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return met.where("similarity > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    return met.where("similarity > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity", "probe")
+
+
+def probes_for(index: Index, queries: DataFrame, k: int, target: float = 0.95) -> int:
+    """How many lists to probe so that the share ``target`` of the ``k`` true neighbours of these queries is found.
+
+    One exact search tells in which of a query's lists its neighbours are. Vectors without clusters need most lists, which pruning can't help.
+    """
+    at = search_all(index, queries, k, len(index.centroids)).groupBy("probe").count().orderBy("probe").collect()
+    total, found = sum(r["count"] for r in at), 0
+    for r in at:
+        found += r["count"]
+        if found >= target * total:
+            return r.probe
+    return 1
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

@@ -53,6 +53,9 @@ def test_a_table_of_queries_gives_what_single_ones_do(spark, rows, index):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {i: found(index, spark, rows[i], 5, probes=4) for i in range(0, 60, 6)}
     every = vector_index.search_all(index, asked, 5, 24)
+    probes = vector_index.probes_for(index, asked, 5, 0.9)
+    shares = [vector_index.recall(vector_index.search_all(index, asked, 5, p), every) for p in (probes, max(1, probes - 1))]
+    assert shares[0] >= 0.9 and (shares[1] < 0.9 or probes == 1)
     assert vector_index.recall(vector_index.search_all(index, asked, 5, 8), every) >= 0.9 and vector_index.recall(every, every) == 1
 
 
