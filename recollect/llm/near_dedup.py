@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("set_key").agg(first, F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     classes = cut(classes.select("set_key", "f.doc_id", "f.row", "f.text_key", "signature", "n"))
     twice = cut(classes.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("twice")))
-    if twice.isEmpty():
+    repeats = not twice.isEmpty()
+    if not repeats:
         classes = classes.withColumn("rep", F.col("doc_id"))
     else:
         lowest = min(0, classes.agg(F.min("doc_id")).first()[0])
@@ -235,10 +236,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         known = components(known.select(F.col("node").alias("src"), F.col("component").alias("dst")).where("src <> dst").union(more))
 
-    # A component is named by the smallest id of its classes.
-    known = known.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "doc_id"), "rep")
-    names = known.groupBy("component").agg(F.min("doc_id").alias("name"))
-    named = known.join(names, "component").select("rep", "name")
+    named = known.select(F.col("node").alias("rep"), F.col("component").alias("name"))
+    if repeats:  # else the smallest node is the smallest id
+        named = named.join(classes.select("rep", F.col("doc_id").alias("id")), "rep")
+        least = cut(named.groupBy("name").agg(F.min("id").alias("id")))
+        named = named.select("rep", "name").join(least, "name").select("rep", F.col("id").alias("name"))
     own = classes.select("set_key", "rep", "doc_id").join(named, "rep", "left").select("set_key", F.coalesce("name", "doc_id").alias("component"))
     joined = drawn.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
