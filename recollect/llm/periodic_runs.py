@@ -25,7 +25,7 @@ from recollect.llm._session import small_batches
 from recollect.llm._words import blocks, edges
 
 #: Candidate pairs looked at together.
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 18
 RUN = "struct<start:bigint,length:bigint,period:bigint>"
 
 
