@@ -81,3 +81,26 @@ def test_one_hot_cell_is_cut_into_blocks(spark, monkeypatch):
     assert metric.near_pairs(df.where("false"), 0.9).count() == 0
     with pytest.raises(ValueError, match="above 0"):
         metric.near_pairs(df, 0.0)
+
+
+def test_vectors_without_clusters_are_not_sent_to_every_cell(spark):
+    """Pivots can't prune random vectors at a low cosine, so each row is placed about once and blocks meet without cells."""
+    x = np.random.default_rng(3).normal(size=(1500, 48)).astype(np.float32)
+    rows = [("a", f"m{i}", v.tolist(), 1) for i, v in enumerate(x)]
+    lonely = [("old only", f"o{i}", v.tolist(), 0) for i, v in enumerate(x[:50])] + [("probes only", f"p{i}", v.tolist(), 2) for i, v in enumerate(x[:50])]
+    df = spark.createDataFrame(rows + lonely, ROWS)
+    assert metric.plan(df, 0.35)[0].count() <= 2 * len(x), "rows are not copied to all cells; groups without partners are left out"
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert metric.near_pairs(df, 0.35).count() == int((np.triu(unit @ unit.T, 1) > 0.35).sum())
+
+
+def test_hits_are_exact_in_tiles(monkeypatch):
+    monkeypatch.setattr(metric, "TILE", 7)
+    monkeypatch.setattr(metric, "TOLD", 5)
+    x = np.random.default_rng(4).normal(size=(40, 8))
+    y = np.vstack([x[:3] * 2, np.zeros((1, 8)), np.random.default_rng(5).normal(size=(30, 8))])
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for other, want in ((y, unit(x) @ unit(y).T), (None, np.triu(unit(x) @ unit(x).T, 1) - 2 * np.tri(40))):
+        for low in (0.3, -0.2):
+            got = {(i, j) for a, b, _ in metric.hits(x, other, low) for i, j in zip(a.tolist(), b.tolist())}
+            assert got == set(zip(*(c.tolist() for c in np.nonzero(want > low))))
