@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import scalars as X
-from recollect.operators import cluster, lifecycle, meta, text, topics, usage, vector
+from recollect.operators import cluster, lifecycle, meta, scans, text, topics, usage, vector
 
 
 def test_settings(spark):
@@ -123,3 +123,13 @@ def test_triaged_rows_are_not_judged_again(spark):
     df = spark.createDataFrame(rows, "layer int, tags array<string>, created_at long")
     got = [tuple(r) for r in df.select(lifecycle.triage_eligible(1_000_000), lifecycle.triage_eligible(1_000_000, True)).collect()]
     assert got == [(True, False), (True, True), (False, False), (False, False), (False, False)]
+
+
+def test_topic_entries_number_every_row(spark):
+    """More than 10,000 rows of a layer are all numbered, layers and importance from the top, ids as strings."""
+    rows = spark.range(10_050).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("layer"), (F.col("id") % 7 / 10).alias("importance"), F.array(F.lit(1.0)).alias("embedding"))
+    rows = rows.union(spark.createDataFrame([("a", 3, 0.1, [1.0]), ("b", 3, 0.9, [1.0]), ("c", 3, 0.9, None)], "id string, layer int, importance double, embedding array<double>"))
+    got = {r.id: r.idx for r in scans.topic_entries(rows, keep=["id"]).collect()}
+    want = sorted(((-r.layer, -r.importance, r.id) for r in rows.collect() if r.embedding is not None))
+    assert got == {key[2]: k for k, key in enumerate(want)}
+    assert scans.topic_entries(rows, 5).count() == 7
