@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from recollect import schema as S
 from recollect.functions import scalars as X
 
+#: Size of a file of a compacted table, about.
+FILE_BYTES = 128 << 20
+
 
 class VersionedTable:
     """A table whose every write is a new folder ``v=N``; a pointer file names the current one.
@@ -52,8 +56,12 @@ class VersionedTable:
             stream.close()
         return n
 
-    def compact(self, files: int = 1) -> int:
-        """Rewrite as fewer files."""
+    def compact(self, files: int | None = None, file_bytes: int = FILE_BYTES) -> int:
+        """Rewrite as fewer files: as many as asked for, or so many that each, and what one task reads, is about ``file_bytes``."""
+        if files is None:
+            p, fs = self._file(f"v={self.version()}")
+            held = fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+            files = max(1, math.ceil(held / file_bytes))
         return self.write(self.read().coalesce(files))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import scalars as X
 from recollect.operators import cluster, lifecycle, meta, scans, text, topics, usage, vector
+from recollect.sources import tables
 
 
 def test_settings(spark):
@@ -133,3 +134,11 @@ def test_topic_entries_number_every_row(spark):
     want = sorted(((-r.layer, -r.importance, r.id) for r in rows.collect() if r.embedding is not None))
     assert got == {key[2]: k for k, key in enumerate(want)}
     assert scans.topic_entries(rows, 5).count() == 7
+
+
+def test_a_compacted_table_has_files_of_a_size(spark, tmp_path):
+    """What one task rewrites is bounded by bytes: a larger table has more files, not one."""
+    table = tables.VersionedTable(spark, str(tmp_path / "t"), "id long, text string")
+    table.write(spark.range(0, 4000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")))
+    assert table.compact(file_bytes=80_000) == 2 and 2 <= len(table.read().inputFiles()) < 8
+    assert table.compact() == 3 and len(table.read().inputFiles()) == 1 and table.read().count() == 4000
