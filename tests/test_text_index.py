@@ -77,3 +77,10 @@ def test_repair_and_empty(spark):
     assert text_index.repair(fixed, now)[1:] == (0, 0)
     none = text_index.build(memories(spark, *rows(2)).where("false"))
     assert answers(text_index.search(none, spark, "alpha", 5)) == [] and answers(text_index.search(index, spark, " ", 5)) == []
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([("a", "x y x", ["t"], "n"), ("b", "", [], "n"), ("c", None, ["y"], None)], "id string, content string, tags array<string>, namespace string")
+    found = text.postings(df)
+    assert {(r.term, r.id, r.namespace, r.dl, r.tf) for r in found.collect()} == {("x", "a", "n", 4, 2), ("y", "a", "n", 4, 1), ("t", "a", "n", 4, 1), ("y", "c", None, 1, 1)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
