@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import metric
+from recollect.operators import cluster, metric
 
 ROWS = "g string, id string, embedding array<float>, mode int"
 
@@ -104,3 +104,18 @@ def test_hits_are_exact_in_tiles(monkeypatch):
         for low in (0.3, -0.2):
             got = {(i, j) for a, b, _ in metric.hits(x, other, low) for i, j in zip(a.tolist(), b.tolist())}
             assert got == set(zip(*(c.tolist() for c in np.nonzero(want > low))))
+
+
+def test_components_from_few_links(spark, monkeypatch):
+    """Blocks tell spanning forests: as many components as all combined pairs have, from fewer links than pairs."""
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(metric, "TILE", 16)
+    x = clustered(150, 6, 0.4, seed=8)
+    tags = [["a", None], ["a", "b"], [], ["c"], None]
+    rows = [(f"m{i:03}", v.tolist(), tags[i % 5]) for i, v in enumerate(x)] + [("null", None, ["a"]), ("zero", [0.0] * 16, ["a"]), ("short", [1.0], ["a"])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>, tags array<string>")
+    pairs = cluster.combined_pairs(df, 0.6).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = cluster.combined_links(df, 0.6)
+    want = {(r.node, r.component) for r in cluster.connected(pairs).collect()}
+    assert {(r.node, r.component) for r in cluster.connected(links).collect()} == want and len(want) > 50
+    assert links.count() < pairs.count() / 3
