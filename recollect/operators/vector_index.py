@@ -10,18 +10,23 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import scalars as X
+from recollect.operators import metric
 from recollect.operators.lineage import shared_folder
 
 #: Lists at most, vectors the centroids are fitted on, rounds of k-means, share of ghosts above which to rebuild.
 LISTS, SAMPLE, ROUNDS, GHOSTS = 1024, 8192, 8, 0.2
+#: Rows of a list, and queries, of a block; queries of a block that are multiplied at once.
+BLOCK, TILE = 8192, 512
 ROW = "id string, namespace string, embedding array<float>, version int, list int"
 
 
@@ -148,9 +153,11 @@ def search_all(index: Index, queries: DataFrame, k: int, probes: int = 8) -> Dat
 
     ``probe``: the how manieth of the query's lists, from 1, the row was in.
 
-    Queries join the lists they probe, and ranks are limited before they are shuffled by query. Null and zero queries have no rows.
+    Blocks of at most about BLOCK rows of a list meet blocks of the queries that probe it as matrix products, and each tells the ``k`` best of a
+    query alone. Where every list is probed the blocks are of all lists together. Null and zero queries have no rows.
     """
     spark, centroids = queries.sparkSession, index.centroids
+    every = probes >= len(centroids)
 
     def probe(batches):
         for batch in batches:
@@ -162,11 +169,53 @@ def search_all(index: Index, queries: DataFrame, k: int, probes: int = 8) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), v, lists], ["query_id", "q", "lists"])
 
     kind = dict(queries.dtypes)["query_id"]
-    fine = queries.where(F.col("embedding").isNotNull() & (X.norm(F.col("embedding")) > 0)).select("query_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    asked = fine.mapInArrow(probe, f"query_id {kind}, q array<float>, lists array<int>").select("query_id", "q", F.posexplode("lists").alias("probe", "list"))
-    met = live(index, spark).join(asked, "list").select("query_id", "id", X.cosine(F.col("embedding"), F.col("q")).alias("similarity"), (F.col("probe") + 1).alias("probe"))
+    fine = queries.where(F.col("embedding").isNotNull() & (X.norm(F.col("embedding")) > 0)).select("query_id", F.col("embedding").cast("array<float>").alias("q"))
+    if every:
+        asked = fine.withColumn("cell", F.lit(0))
+    else:
+        asked = fine.mapInArrow(probe, f"query_id {kind}, q array<float>, lists array<int>").select("query_id", "q", F.explode("lists").alias("cell"))
+    shares = max(1, math.ceil(fine.count() / BLOCK))
+    rows = live(index, spark).select("id", "embedding", "list", (F.lit(0) if every else F.col("list")).alias("cell"))
+    parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    some = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    rows = rows.join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), some(F.lit(shares).cast("long")).alias("share"), "id", "embedding", "list")
+    asked = asked.join(parts, "cell").select("cell", some(F.col("parts")).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(shares).cast("long")).alias("share"), "query_id", "q")
+    keys = ["cell", "part", "share"]
+    met = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_best(centroids, k), f"query_id {kind}, id string, similarity double, probe int")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return met.where("similarity > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity", "probe")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity", "probe")
+
+
+def _best(centroids: np.ndarray, k: int) -> Callable:
+    """For a block of rows and one of queries: the ``k`` rows of the largest positive cosine of each query, equal ones by id."""
+
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if len(rows) and len(asked):
+            v, q = metric.matrix(rows.column("embedding")), metric.matrix(asked.column("q"))
+            lengths, norms = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+            units = (v / lengths[:, None]).astype(np.float32)
+            lists, place = rows.column("list").to_numpy(), np.empty(len(v), np.int64)
+            place[pc.sort_indices(rows.column("id")).to_numpy()] = np.arange(len(v))
+            slack = max(1, v.shape[1]) * 2.0**-21
+            for lo in range(0, len(q), TILE):
+                x = q[lo : lo + TILE]
+                s = (x / norms[lo : lo + TILE, None]).astype(np.float32) @ units.T
+                least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k] if k < len(v) else np.full(len(x), -1.0)
+                i, j = np.nonzero((s >= least[:, None] - slack) & (s > -slack))
+                product = norms[lo + i] * lengths[j]
+                exact = np.where(product >= 1e-12, np.einsum("ij,ij->i", x[i], v[j]) / np.maximum(product, 1e-12), 0.0)
+                order = np.lexsort((place[j], -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                first = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (exact > 0)
+                i, j, exact = i[first], j[first], exact[first]
+                probe = np.argsort(np.argsort(-(x @ centroids.T), axis=1, kind="stable"), axis=1, kind="stable")[i, lists[j]] + 1
+                out.append(pa.table({"query_id": asked.column("query_id").take(pa.array(lo + i)), "id": rows.column("id").take(pa.array(j)), "similarity": exact, "probe": pa.array(probe, pa.int32())}))
+        if out:
+            return pa.concat_tables(out)
+        return pa.table({"query_id": asked.column("query_id").slice(0, 0), "id": rows.column("id").slice(0, 0), "similarity": pa.array([], pa.float64()), "probe": pa.array([], pa.int32())})
+
+    return best
 
 
 def probes_for(index: Index, queries: DataFrame, k: int, target: float = 0.95) -> int:

@@ -96,3 +96,23 @@ def test_empty_and_odd_vectors(spark):
     assert found(index, spark, [1.0, 0.0], 5) == ["c"] and found(index, spark, [0.0, 0.0], 5) == []
     none = vector_index.build(df.where("false"))
     assert vector_index.search_all(none, df.select(F.col("id").alias("query_id"), "embedding"), 3).count() == 0
+
+
+def test_rows_and_queries_meet_in_blocks(spark, monkeypatch):
+    """Blocks smaller than a list, equal vectors, and the rows that are told of each block: at most k a query."""
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.standard_normal((30, 4)).round(1), 3, axis=0)
+    df = spark.createDataFrame([(f"r{i:03d}", "n", [float(np.float32(x)) for x in row]) for i, row in enumerate(v)], "id string, namespace string, embedding array<float>")
+    index = vector_index.build(df, lists=3)
+    asked = df.where("id < 'r020'").select(F.col("id").alias("query_id"), "embedding")
+    found = vector_index.search_all(index, asked, 4, 3)
+    x = v.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.query_id, r["rank"]): (r.id, round(r.similarity, 9)) for r in found.collect()}
+    for i in range(20):
+        s = (unit @ unit[i]).round(9)
+        for rank, j in enumerate(sorted(range(90), key=lambda j: (-s[j], j))[:4], 1):
+            assert got[f"r{i:03d}", rank] == (f"r{j:03d}", s[j])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan
