@@ -423,3 +423,27 @@ def test_default_rows_merge_with_every_namespace(spark):
     m = spark.createDataFrame(rows, "id string, layer int, namespace string, embedding array<float>")
     got = sorted((r.layer, r.namespace, *sorted((r.a, r.b))) for r in dedup.merge_pairs(m, 0.5).collect())
     assert got == [(2, "default", "1", "2"), (2, "default", "1", "3"), (2, "default", "1", "4"), (2, "default", "1", "6"), (2, "default", "2", "4"), (2, "default", "3", "4"), (2, "default", "4", "6"), (2, "p", "2", "6")]
+
+
+def test_word_sets_meet_by_rare_words(spark):
+    """Texts of frequent words and a few rare ones: the pairs are those of a plain loop, and few others are compared."""
+    rng = np.random.default_rng(8)
+    usual = [f"w{n}" for n in range(400)]
+    texts = [[*rng.choice(usual, 60, False), *[f"rare{i}x{j}" for j in range(25)]] for i in range(300)]
+    texts += [[*t[: int(rng.integers(70, 85))], *[f"new{i}x{j}" for j in range(int(rng.integers(0, 12)))]] for i, t in enumerate(texts[:60])]
+    texts += [[f"a{i}", "b", "c", "d", "e"][: 3 + i % 3] for i in range(9)]
+    m = spark.createDataFrame([(f"m{i:03}", "en" if i % 7 else "de", " ".join(t)) for i, t in enumerate(texts)], "id string, namespace string, content string")
+    sets, ids = [set(t) for t in texts], [f"m{i:03}" for i in range(len(texts))]
+    for threshold in (0.5, 0.8):
+        loop = {(ids[i], ids[j]): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+        want = {p: x for p, x in loop.items() if x > threshold}
+        assert len(want) > 20
+        assert {(r.a, r.b): r.jaccard for r in text.jaccard_pairs(m, threshold).collect()} == pytest.approx(want)
+        old, new = m.where("id < 'm200'"), m.where("id >= 'm200'")
+        space = {i: "en" if k % 7 else "de" for k, i in enumerate(ids)}
+        across = {p: x for p, x in want.items() if p[0] < "m200" <= p[1] and space[p[0]] == space[p[1]]}
+        assert {(r.old_id, r.new_id): r.jaccard for r in text.jaccard_join(new, old, threshold).collect()} == pytest.approx(across) and across
+    # With counts of single words, no prefix of a text with rare words holds a usual one.
+    rows = text.word_sets(m)
+    keys = text.prefixes(rows, "id", text.frequent_words(rows), 0.8)
+    assert keys.where("id < 'm300'").groupBy("word").count().agg(F.max("count")).first()[0] == 1
