@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.operators import metric, text
+from recollect.operators.lineage import cut
 
 
 def pair_key(a: str = "a", b: str = "b"):
@@ -116,7 +117,7 @@ def dedup_buffer(memories: DataFrame, threshold: float = S.DEFAULTS.triage_dedup
     component of pairs only, which the exact pair join finds first.
     """
     buffer = memories.where((F.col("layer") == S.BUFFER) & F.col("embedding").isNotNull())
-    pairs = metric.near_pairs(buffer.select(F.col("namespace").alias("g"), "id", "embedding", F.lit(metric.NEW).alias("mode")), threshold, inclusive=True)
+    pairs = cut(metric.near_pairs(buffer.select(F.col("namespace").alias("g"), "id", "embedding", F.lit(metric.NEW).alias("mode")), threshold, inclusive=True).select("a", "b"))
     from recollect.operators.cluster import connected
 
     comp = connected(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
