@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recollect.llm._session import cut
@@ -12,16 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (src, dst); component: the smallest node reachable.
 
     Each round takes the least label of the neighbours, then the label's own label, so rounds grow
-    as the logarithm of the longest path in practice. Labels stay in checkpoints, none on the driver.
+    as the logarithm of the longest path in practice. Labels stay in checkpoints, none on the driver: they
+    grow with the input, so no round broadcasts them, and what a round changes is counted while it is written.
     """
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("component")))
     while True:
-        told = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("least"))
-        step = labels.join(told, F.col("node") == F.col("src")).select("node", F.col("component").alias("was"), F.least("component", "least").alias("next"))
+        told = both.join(labels.hint("merge"), F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("least"))
+        step = labels.join(told.hint("merge"), F.col("node") == F.col("src")).select("node", F.col("component").alias("was"), F.least("component", "least").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
-        new = cut(step.join(jump, "next").select("node", "was", F.least("next", "further").alias("component")))
-        changed = new.where("was <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        new = step.join(jump.hint("merge"), "next").select("node", "was", F.least("next", "further").alias("component"))
+        round_ = Observation()
+        labels = cut(new.observe(round_, F.count_if(F.col("was") != F.col("component")).alias("changed")).select("node", "component"))
+        if not round_.get["changed"]:
             return labels

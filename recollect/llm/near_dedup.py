@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct("doc_id", "row", "text_key")).alias("f")
     classes = some.groupBy("set_key").agg(first, F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     classes = cut(classes.select("set_key", "f.doc_id", "f.row", "f.text_key", "signature", "n"))
-    twice = cut(classes.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("twice")))
-    repeats = not twice.isEmpty()
+    twice = classes.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("twice"))
+    repeats = twice.limit(1).count() > 0
     if not repeats:
         classes = classes.withColumn("rep", F.col("doc_id"))
     else:
