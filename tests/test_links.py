@@ -4,9 +4,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.operators import cluster
+from recollect.operators import cluster, metric
 
 
 def test_components_of_links_that_differ_when_computed_again(spark):
@@ -23,3 +24,27 @@ def test_components_of_links_that_differ_when_computed_again(spark):
     found = {(r.node, r.component) for r in cluster.connected(links).collect()}
     assert found == {(str(i), str(i // 10 * 10)) for i in range(10_000, 10_200)}
     assert cluster.connected(links.where(F.lit(False))).count() == 0
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Whatever the ids' type, one task gives the components that rounds of joins give."""
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]
+    for kind in ("long", "string"):
+        edges = spark.createDataFrame(pairs, "src long, dst long").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).where("src <> dst")
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "FEW", 0)
+            want = set(map(tuple, cluster.connected(edges).collect()))
+            m.setattr(cluster, "FEW", 1 << 20)
+            m.setattr(DataFrame, "join", None)
+            got = cluster.connected(edges)
+        assert set(map(tuple, got.collect())) == want and got.count() == len(want) > 100 and got.schema.simpleString() == f"struct<node:{got.dtypes[0][1]},component:{got.dtypes[0][1]}>"
+
+
+def test_few_rows_meet_without_pivots(spark, monkeypatch):
+    """A table of a few blocks is joined without a job that chooses or measures pivots; probes still meet old rows."""
+    monkeypatch.setattr(metric, "choose_pivots", None)
+    rows = [("g", f"{m}{i}", [1.0, i / 100], m) for m in (metric.OLD, metric.NEW, metric.PROBE) for i in range(3)] + [("h", "x", [1.0], metric.PROBE), ("h", "y", [2.0], metric.OLD)]
+    found = metric.near_pairs(spark.createDataFrame(rows, "g string, id string, embedding array<float>, mode int"), 0.9).collect()
+    want = {("g", f"{a}{i}", f"{b}{j}") for a in range(3) for b in range(a, 3) for i in range(3) for j in range(3) if (a, b) not in ((0, 0), (2, 2)) and (a < b or i < j)}
+    assert {(r.g, r.a, r.b) for r in found} == want | {("h", "x", "y")} and len(found) == len(want) + 1
