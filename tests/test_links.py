@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,24 @@ def test_few_rows_meet_without_pivots(spark, monkeypatch):
     found = metric.near_pairs(spark.createDataFrame(rows, "g string, id string, embedding array<float>, mode int"), 0.9).collect()
     want = {("g", f"{a}{i}", f"{b}{j}") for a in range(3) for b in range(a, 3) for i in range(3) for j in range(3) if (a, b) not in ((0, 0), (2, 2)) and (a < b or i < j)}
     assert {(r.g, r.a, r.b) for r in found} == want | {("h", "x", "y")} and len(found) == len(want) + 1
+
+
+@pytest.mark.parametrize("spread", [0.3, 1.2])
+def test_rounds_over_many_blocks_lose_no_link(spark, monkeypatch, spread):
+    """Of many blocks most pairs need not meet, and components are those of all pairs; blocks are dealt to several tasks."""
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 16)
+    rng, seen = np.random.default_rng(9), []
+    centres = rng.normal(size=(12, 16))
+    x = (centres[np.minimum(rng.integers(60, size=400), 11)] + spread * rng.normal(size=(400, 16))).astype(np.float32)
+    tags = [["a"], ["a", "b"], [], ["c"], ["b", "c"]]
+    rows = [(f"m{i:03}", v.tolist(), tags[i % 5]) for i, v in enumerate(x)] + [(f"s{i}", [1.0, float(i)], ["a"]) for i in range(40)] + [("short", [1.0], ["a"])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>, tags array<string>")
+    links = cluster.combined_links(df, 0.6)
+    pairs = cluster.combined_pairs(df, 0.6).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    want = set(map(tuple, cluster.connected(pairs).collect()))
+    assert set(map(tuple, cluster.connected(links).collect())) == want and len(want) > 100
+    assert links.join(pairs.union(pairs.select("dst", "src")), ["src", "dst"], "left_anti").isEmpty()
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: seen.append(a[1:]) or repartition(self, *a))
+    cluster.combined_links(df, 0.6)
+    assert len(seen) > 2 and set(seen) == {("n", "x", "y")}
