@@ -5,9 +5,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from recollect.llm import _graph
 from recollect.operators import cluster, metric
 
 
@@ -70,3 +71,26 @@ def test_rounds_over_many_blocks_lose_no_link(spark, monkeypatch, spread):
     monkeypatch.setattr(type(df), "repartition", lambda self, *a: seen.append(a[1:]) or repartition(self, *a))
     cluster.combined_links(df, 0.6)
     assert len(seen) > 2 and set(seen) == {("n", "x", "y")}
+
+
+def test_components_of_documents_from_few_edges_take_no_rounds(spark, monkeypatch):
+    """One task gives what rounds of joins give, also for ids below 0."""
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in np.random.default_rng(7).integers(-200, 200, (250, 2))], "src long, dst long").where("src <> dst")
+    monkeypatch.setattr(_graph, "FEW", 0)
+    want = set(map(tuple, _graph.components(edges).collect()))
+    monkeypatch.setattr(_graph, "FEW", 1 << 20)
+    monkeypatch.setattr(_graph, "Observation", rounds := _Counted)
+    rounds.made = 0
+    assert set(map(tuple, _graph.components(edges).collect())) == want and len(want) > 100
+    assert rounds.made == 1
+    assert _graph.components(edges.where("src is null")).count() == 0
+
+
+class _Counted(Observation):
+    """An observation that counts how many were made: one, and one more for each round."""
+
+    made = 0
+
+    def __init__(self):
+        super().__init__()
+        _Counted.made += 1
