@@ -94,3 +94,17 @@ class _Counted(Observation):
     def __init__(self):
         super().__init__()
         _Counted.made += 1
+
+
+def test_groups_split_by_one_task_or_by_rounds_are_the_same(spark, monkeypatch):
+    """Also with equal vectors, whose ties go by ids."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=8) + 0.7 * rng.normal(size=(60, 8))).astype(np.float32)
+    x[50:] = x[:10]
+    tags = [["a"], ["a", "b"], ["b", "c"]]
+    df = spark.createDataFrame([(f"m{i:02}", v.tolist(), tags[i % 3]) for i, v in enumerate(x)], "id string, embedding array<float>, tags array<string>")
+    found = []
+    for rows in (30, 2048):
+        monkeypatch.setattr(cluster, "TOGETHER", rows)
+        found.append(set(map(tuple, cluster.clusters(df, 0.45).collect())))
+    assert found[0] == found[1] and len(found[0]) > 50 and len({c for c, _ in found[0]}) > 5
